@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, langid, pfor, quality
+from . import bpe, langid, pfor, quality, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
+def op5_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The document that stays for every document."""
+    return simhash.groups(_table(spark, sf_dir, "documents"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, and whether decoding them gives its text again."""
     tokens = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents")))
@@ -34,11 +39,18 @@ def op9_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfor.write_ids(_table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity and grade of every document."""
+    return toxicity.grade(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op3_language": op3_language,
+    "op5_near_copies": op5_near_copies,
     "op8_bpe": op8_bpe,
     "op9_packed_ids": op9_packed_ids,
+    "op10_toxicity": op10_toxicity,
 }
 
 SQL: dict[str, str] = {}
