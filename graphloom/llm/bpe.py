@@ -2,9 +2,10 @@
 
 Plan of ``encode``: one pass splits texts into words and numbers the distinct
 words of each block of documents; the (block, number, word) rows are shuffled
-by word, so that each distinct word of the corpus meets the tokenizer once;
-its ids go back to the blocks that use it and are placed by position. Only
-distinct words per block and packed word numbers are shuffled, never texts.
+by the word's hash, packed by bucket, so that each distinct word of the corpus
+meets the tokenizer once; its ids go back to the blocks that use it and are
+placed by position. Only distinct words per block and packed word numbers are
+shuffled, never texts.
 
 ``decode`` joins ids to pieces by index: the id-to-piece table has the fixed
 size of the vocabulary.
@@ -83,8 +84,8 @@ def numbered(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     coded = coded.chunk(0) if isinstance(coded, pa.ChunkedArray) else coded
     number = coded.indices.to_numpy(zero_copy_only=False)
     order = np.argsort(-np.bincount(number, minlength=len(coded.dictionary)), kind="stable")
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order), dtype=np.int32)
     return coded.dictionary.take(pa.array(order)), place[number], sizes
 
 
@@ -97,13 +98,18 @@ def encode_words(words: pa.Array, vocabulary: str) -> tuple[np.ndarray, np.ndarr
     return np.fromiter((x for one in ids for x in one), np.int32, int(offsets[-1])), offsets
 
 
-def expand(number: np.ndarray, sizes: np.ndarray, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def expand(number: np.ndarray, sizes: np.ndarray, ids: np.ndarray, offsets: np.ndarray, step: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the texts and n + 1 offsets of the texts in them, from numbered words and the ids of each word."""
-    length = np.diff(offsets)[number]
-    end = np.cumsum(length)
-    flat = ids[np.repeat(offsets[number] - (end - length), length) + np.arange(end[-1] if len(end) else 0)]
-    ends = np.r_[0, end][np.r_[0, np.cumsum(sizes)]]
-    return flat, ends
+    each = np.diff(offsets).astype(np.int32)
+    end = np.zeros(len(number) + 1, np.int64)
+    np.cumsum(each[number], out=end[1:])
+    flat = np.empty(int(end[-1]), np.int32)
+    for a in range(0, len(number), step):
+        some = number[a : a + step]
+        length, low = each[some], end[a]
+        high = end[min(a + step, len(number))]
+        flat[low:high] = ids[np.repeat(offsets[some] - (end[a : a + len(some)] - low), length) + np.arange(high - low)]
+    return flat, end[np.r_[0, np.cumsum(sizes)]]
 
 
 def id_lists(flat: np.ndarray, ends: np.ndarray, null: np.ndarray) -> pa.Array:
@@ -128,15 +134,45 @@ def encode_local(column: pa.Array, vocabulary: str, known: dict[bytes, list[int]
 
 def _pack(number: np.ndarray) -> bytes:
     low = number.astype(np.uint32).view(np.uint8).reshape(-1, 4).T
-    return pa.compress(np.ascontiguousarray(low).tobytes(), codec="zstd", asbytes=True)
+    return _zip(np.ascontiguousarray(low).tobytes())
 
 
 def _unpack(packed: bytes, n: int) -> np.ndarray:
     planes = np.frombuffer(pa.decompress(packed, 4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n)
-    return np.ascontiguousarray(planes.T).view(np.uint32).reshape(-1).astype(np.int64)
+    return np.ascontiguousarray(planes.T).view(np.int32).reshape(-1)
 
 
-def _numbered_blocks(batches: Iterable[pa.RecordBatch], payload: bool) -> Iterator[pa.RecordBatch]:
+def _spread(words: pa.Array, buckets: int) -> Iterator[tuple[int, np.ndarray, pa.Array]]:
+    """(bucket, places, words) of an array of distinct words, by their hash."""
+    if not len(words):
+        return
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data = np.frombuffer(words.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    bucket = (_text.span_hashes(data, ends[:-1], ends[1:]) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    edge = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0, True])
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        yield int(bucket[order[a]]), order[a:b], words.take(pa.array(order[a:b]))
+
+
+def _zip(data: bytes) -> bytes:
+    return pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _packed_words(words: pa.Array) -> tuple[bytes, bytes, int]:
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    data = words.buffers()[2].to_pybytes()[ends[0] : ends[-1]]
+    return _pack(np.diff(ends)), _zip(data), len(data)
+
+
+_WORDS = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("n", pa.int32()), ("at", pa.binary()), ("sizes", pa.binary()), ("words", pa.binary()), ("n_bytes", pa.int64())])
+_NUMBERS = pa.schema([("block", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("mark", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("n_words", pa.int64()), ("n_distinct", pa.int64()), ("numbers", pa.binary())])
+_IDS = pa.schema([("block", pa.int64()), ("n", pa.int32()), ("at", pa.binary()), ("lengths", pa.binary()), ("ids", pa.binary()), ("n_ids", pa.int64())])
+
+
+def _numbered_blocks(batches: Iterable[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Packed word numbers of each block, or with ``buckets`` its distinct words by bucket."""
     part, k = TaskContext.get().partitionId(), 0
     for batch in batches:
         whole = _text.plain(batch.column("text"))
@@ -144,16 +180,17 @@ def _numbered_blocks(batches: Iterable[pa.RecordBatch], payload: bool) -> Iterat
             column, block = whole.slice(first, last - first), part << 24 | k
             k += 1
             words, number, sizes = numbered(column)
-            if payload:
-                sizes[batch.column("text").slice(first, last - first).is_null().to_numpy(zero_copy_only=False)] = -1
-                yield pa.RecordBatch.from_pylist(
-                    [{"block": block, "doc_id": batch.column("doc_id").slice(first, last - first).to_pylist(), "mark": batch.column("mark").slice(first, last - first).to_pylist(), "sizes": sizes.tolist(), "n_words": len(number), "n_distinct": len(words), "numbers": _pack(number)}],
-                    pa.schema([("block", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("mark", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("n_words", pa.int64()), ("n_distinct", pa.int64()), ("numbers", pa.binary())]),
-                )
+            rows = batch.slice(first, last - first)
+            if buckets:
+                out = []
+                for bucket, at, some in _spread(words, buckets):
+                    lengths, data, n_bytes = _packed_words(some)
+                    out.append({"bucket": bucket, "block": block, "n": len(at), "at": _pack(at), "sizes": lengths, "words": data, "n_bytes": n_bytes})
+                yield pa.RecordBatch.from_pylist(out, _WORDS)
             else:
-                for at in range(0, len(words), 50_000):
-                    some = words.slice(at, 50_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), block)), pa.array(np.arange(at, at + len(some), dtype=np.int32)), some], ["block", "at", "word"])
+                sizes[rows.column("text").is_null().to_numpy(zero_copy_only=False)] = -1
+                one = {"block": block, "doc_id": rows.column("doc_id").to_pylist(), "mark": rows.column("mark").to_pylist(), "sizes": sizes.tolist(), "n_words": len(number), "n_distinct": len(words), "numbers": _pack(number)}
+                yield pa.RecordBatch.from_pylist([one], _NUMBERS)
 
 
 def encode(docs: DataFrame, vocabulary: str = VOCABULARY, stored: bool = True) -> DataFrame:
@@ -164,46 +201,53 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, stored: bool = True) -
         rows = _shared.stored(rows, "texts")
     rows = rows.withColumn("mark", F.xxhash64("text"))
 
+    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
     def words_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _numbered_blocks(batches, False)
+        return _numbered_blocks(batches, buckets)
 
     def numbers_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _numbered_blocks(batches, True)
-
-    def ids_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[bytes, np.ndarray] | None = None
-        for batch in batches:
-            coded = batch.column("word").dictionary_encode()
-            distinct = coded.dictionary
-            ids, offsets = encode_words(distinct.slice(1) if last and len(distinct) and distinct[0].as_py() == last[0] else distinct, vocabulary)
-            if len(offsets) <= len(distinct):  # the first word went over from the batch before
-                ids, offsets = np.r_[last[1], ids], np.r_[0, offsets + len(last[1])]
-            if len(distinct):
-                last = distinct[-1].as_py(), ids[offsets[-2] :]
-            number = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            flat, ends = expand(number, np.ones(len(number), np.int64), ids, offsets)
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("at"), id_lists(flat, ends, np.zeros(len(number), bool))], ["block", "at", "ids"])
+        return _numbered_blocks(batches, 0)
+
+    def ids_of(table: pa.Table) -> pa.Table:
+        """Ids of the words of one bucket, each distinct word encoded once."""
+        rows = table.to_pylist()
+        lengths = [_unpack(r["sizes"], r["n"]) for r in rows]
+        data = b"".join(pa.decompress(r["words"], r["n_bytes"], codec="zstd", asbytes=True) for r in rows)
+        ends = np.r_[0, np.cumsum(np.concatenate(lengths))]
+        coded = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(data)]).dictionary_encode()
+        ids, offsets = encode_words(coded.dictionary, vocabulary)
+        number = coded.indices.to_numpy()
+        out, a = [], 0
+        for r in rows:
+            flat, placed = expand(number[a : a + r["n"]], np.ones(r["n"], np.int64), ids, offsets)
+            a += r["n"]
+            out.append({"block": r["block"], "n": r["n"], "at": r["at"], "lengths": _pack(np.diff(placed)), "ids": _pack(flat), "n_ids": len(flat)})
+        return pa.Table.from_pylist(out, _IDS)
 
     def place(left: pa.Table, right: pa.Table) -> pa.Table:
-        one = {name: left.column(name)[0] for name in left.column_names}
-        n, distinct = one["n_words"].as_py(), one["n_distinct"].as_py()
-        if right.num_rows != distinct:
+        (one,) = left.to_pylist()
+        rows = right.to_pylist()
+        if sum(r["n"] for r in rows) != one["n_distinct"]:
             raise RuntimeError("the input was read in another order the second time; encode it with stored=False")
-        sizes = np.array(one["sizes"].as_py(), np.int64)
-        ids = right.column("ids").combine_chunks()
-        at = right.column("at").to_numpy()
-        order = np.empty(distinct, np.int64)
-        order[at] = np.arange(distinct)
-        ids = ids.take(pa.array(order)) if distinct else pa.array([], pa.list_(pa.int32()))
-        ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
-        offsets = ids.offsets.to_numpy().astype(np.int64) if distinct else np.zeros(1, np.int64)
-        flat, ends = expand(_unpack(one["numbers"].as_py(), n), np.maximum(sizes, 0), ids.flatten().to_numpy() if distinct else np.zeros(0, np.int32), offsets - offsets[0])
+        length = np.zeros(one["n_distinct"], np.int64)
+        ats = [_unpack(r["at"], r["n"]) for r in rows]
+        lengths = [_unpack(r["lengths"], r["n"]) for r in rows]
+        for at, n in zip(ats, lengths, strict=True):
+            length[at] = n
+        offsets = np.r_[0, np.cumsum(length)]
+        ids = np.empty(int(offsets[-1]), np.int32)
+        for r, at, n in zip(rows, ats, lengths, strict=True):
+            end = np.cumsum(n)
+            ids[np.repeat(offsets[at] - (end - n), n) + np.arange(r["n_ids"])] = _unpack(r["ids"], r["n_ids"])
+        sizes = np.array(one["sizes"], np.int64)
+        flat, ends = expand(_unpack(one["numbers"], one["n_words"]), np.maximum(sizes, 0), ids, offsets)
         null = sizes < 0
-        return pa.table({"doc_id": pa.array(one["doc_id"].as_py(), pa.int64()), "token_ids": id_lists(flat, ends, null), "n_tokens": pa.array(np.diff(ends).astype(np.int32), mask=null), "mark": pa.array(one["mark"].as_py(), pa.int64())})
+        return pa.table({"doc_id": pa.array(one["doc_id"], pa.int64()), "token_ids": id_lists(flat, ends, null), "n_tokens": pa.array(np.diff(ends).astype(np.int32), mask=null), "mark": pa.array(one["mark"], pa.int64())})
 
-    words = rows.mapInArrow(words_of, "block bigint, at int, word binary")
+    words = rows.mapInArrow(words_of, "bucket int, block bigint, n int, at binary, sizes binary, words binary, n_bytes bigint")
     numbers = rows.mapInArrow(numbers_of, "block bigint, doc_id array<bigint>, mark array<bigint>, sizes array<int>, n_words bigint, n_distinct bigint, numbers binary")
-    ids = words.repartition("word").sortWithinPartitions("word").mapInArrow(ids_of, "block bigint, at int, ids array<int>")
+    ids = words.groupBy("bucket").applyInArrow(ids_of, "block bigint, n int, at binary, lengths binary, ids binary, n_ids bigint")
     return numbers.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(place, TOKENS + ", mark bigint")
 
 

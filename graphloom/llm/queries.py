@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, langid, pfor, quality, simhash, toxicity
+from . import ann, bpe, jpeg, langid, mixing, pfor, quality, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,16 +18,52 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest neighbours of every vector."""
+    return ann.neighbours(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language, confidence and acceptance for every document."""
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dimensions and thumbnail hashes of every page's picture."""
+    return jpeg.describe(jpeg.pages_media(_table(spark, sf_dir, "pages")), "page_id")
+
+
 def op5_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The document that stays for every document."""
     return simhash.groups(_table(spark, sf_dir, "documents"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every slot of the schedule with the pieces of documents in its block."""
+    return mixing.schedule(_table(spark, sf_dir, "documents"))
+
+
+OP7_SQL = """
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS source,
+    CASE WHEN coalesce(length(text), 0) = 0 THEN 0 ELSE length(text) - length(translate(text, chr(32) || chr(10) || chr(13) || chr(9), '')) + 1 END AS n,
+    md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS place
+  FROM documents),
+r AS (SELECT *, CAST(coalesce(sum(n) OVER (PARTITION BY source ORDER BY place, doc_id, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS b FROM d),
+s AS (SELECT source, sum(n) AS total, greatest(1, CAST(ceil(sum(n) / 16384.0) AS BIGINT)) AS blocks FROM d GROUP BY source),
+w AS (SELECT *, CAST(floor(sqrt(CAST(total AS DOUBLE)) * sqrt(sqrt(CAST(total AS DOUBLE))) * 1000) AS BIGINT) AS weight FROM s),
+c AS (SELECT *, sum(weight) OVER (ORDER BY source) AS upto, sum(weight) OVER () AS whole FROM w),
+e AS (SELECT source, blocks, CAST(floor(CAST(upto - weight AS DOUBLE) / CAST(whole AS DOUBLE) * 4294967296) AS BIGINT) AS low,
+        CAST(floor(CAST(upto AS DOUBLE) / CAST(whole AS DOUBLE) * 4294967296) AS BIGINT) AS high FROM c),
+g AS (SELECT i AS slot, (i * 2654435769) % 4294967296 AS u FROM (SELECT unnest(range(CAST((SELECT sum(blocks) FROM s) AS BIGINT))) AS i)),
+q AS (SELECT slot, source, blocks, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS k FROM g JOIN e ON u >= low AND u < high),
+t AS (SELECT slot, source, k // blocks AS epoch, k % blocks AS block FROM q),
+p AS (SELECT r.source, doc_id, n, b, unnest(range(least(b // 16384, blocks - 1), least(greatest(b, b + n - 1) // 16384, blocks - 1) + 1)) AS block FROM r JOIN s ON r.source = s.source)
+SELECT slot, t.source, epoch, t.block, doc_id, greatest(0, t.block * 16384 - b) AS token_from, least(n, (t.block + 1) * 16384 - b) AS token_to
+FROM t JOIN p ON t.source = p.source AND t.block = p.block
+"""
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, and whether decoding them gives its text again."""
     tokens = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents")))
@@ -46,11 +82,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op2_neighbours": op2_neighbours,
     "op3_language": op3_language,
+    "op4_media": op4_media,
     "op5_near_copies": op5_near_copies,
+    "op7_mixing": op7_mixing,
     "op8_bpe": op8_bpe,
     "op9_packed_ids": op9_packed_ids,
     "op10_toxicity": op10_toxicity,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op7_mixing": OP7_SQL}
