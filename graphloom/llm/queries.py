@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, jpeg, langid, mixing, pfor, quality, simhash, toxicity
+from . import ann, bpe, jpeg, langid, mixing, pfor, quality, simhash, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,58 @@ def op5_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(_table(spark, sf_dir, "documents"))
 
 
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Key, alias group and decision for every page."""
+    return urls.decide(_table(spark, sf_dir, "pages"))
+
+
+def _key(u: str) -> str:
+    """DuckDB's form of ``urls.url_key``."""
+    bare = f"regexp_replace(trim({u}), '#.*$', '')"
+    scheme = f"lower(regexp_extract({bare}, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1))"
+    host = f"regexp_replace(lower(regexp_extract({bare}, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)', 1)), '^.*@', '')"
+    port = f"CASE {scheme} WHEN 'http' THEN regexp_replace({host}, ':80$', '') WHEN 'https' THEN regexp_replace({host}, ':443$', '') ELSE {host} END"
+    rest = f"regexp_extract({bare}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*(.*)$', 1)"
+    path = f"regexp_extract({rest}, '^([^?]*)', 1)"
+    query = f"regexp_replace(regexp_replace('&' || regexp_extract({rest}, '\\?(.*)$', 1), '(?i)&{urls.TRACKING}=[^&]*', '', 'g'), '^&+', '')"
+    whole = f"{scheme} || '://' || {port} || CASE WHEN {path} = '' THEN '/' ELSE {path} END || CASE WHEN {query} <> '' THEN '?' || {query} ELSE '' END"
+    return f"CASE WHEN {bare} = '' THEN NULL WHEN {scheme} <> '' AND {host} <> '' THEN {whole} ELSE {bare} END"
+
+
+def _linked(tag: str, href: str) -> str:
+    found = f"replace(trim(regexp_extract(regexp_extract(html, '{tag}'), '{href}', 1)), '&amp;', '&')"
+    root = "regexp_extract(a, '^([a-z][a-z0-9+.-]*://[^/?]*)', 1)"
+    whole = f"CASE WHEN regexp_matches({found}, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN {found} WHEN starts_with({found}, '//') THEN regexp_extract(a, '^([a-z][a-z0-9+.-]*:)', 1) || {found} WHEN starts_with({found}, '/') THEN {root} || {found} ELSE {root} || '/' || {found} END"
+    return f"SELECT a, CASE WHEN {found} <> '' THEN {whole} END AS raw FROM k"
+
+
+_QUOTED = "[^\\x22\\x27\\s>]+"
+_FORM = "regexp_replace(regexp_replace(a, '^http://', 'https://'), '^https://(www|m)\\.([^/]*\\.)', 'https://\\2')"
+OP6_SQL = f"""
+WITH RECURSIVE k AS (SELECT page_id, url, {_key('url')} AS a, html FROM pages),
+raw AS ({_linked('(?i)<link\\b[^>]*\\brel\\s*=\\s*[\\x22\\x27]?canonical\\b[^>]*>', f'(?i)\\bhref\\s*=\\s*[\\x22\\x27]?({_QUOTED})')}
+  UNION ALL {_linked('(?i)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*[\\x22\\x27]?refresh\\b[^>]*>', f'(?i)\\burl\\s*=\\s*[\\x22\\x27]?({_QUOTED})')}),
+e AS (SELECT a, {_key('raw')} AS b FROM raw WHERE raw IS NOT NULL
+  UNION SELECT a, regexp_replace(regexp_replace({_FORM}, '\\.html?(\\?|$)', '\\1', 'g'), '([^/:])/+(\\?|$)', '\\1\\2', 'g') FROM k),
+u AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
+n AS (SELECT a AS key FROM k WHERE a IS NOT NULL UNION SELECT a FROM u),
+reach AS (SELECT key, key AS label FROM n UNION SELECT u.b, reach.label FROM reach JOIN u ON u.a = reach.key),
+g AS (SELECT key, min(label) AS grp FROM reach GROUP BY key),
+rules(kind, pattern, action) AS (VALUES {', '.join(str(r) for r in urls.DEFAULT_RULES)}),
+m AS (SELECT g.key, grp,
+    bool_or(action = 'block') AS own, bool_or(action = 'allow') AS allowed
+  FROM g LEFT JOIN rules ON CASE kind
+    WHEN 'host' THEN '.' || regexp_replace(regexp_extract(g.key, '^[a-z][a-z0-9+.-]*://([^/?]*)', 1), ':[0-9]+$', '') LIKE '%.' || pattern
+    WHEN 'word' THEN list_contains(regexp_split_to_array(regexp_extract(g.key, '^[a-z][a-z0-9+.-]*://([^/?:]*)', 1), '[.-]'), pattern)
+    ELSE g.key = pattern OR starts_with(g.key, pattern || '/') OR starts_with(g.key, pattern || '?') END
+  GROUP BY ALL),
+s AS (SELECT grp, bool_or(coalesce(own, false)) AS spread FROM m GROUP BY grp),
+v AS (SELECT key, m.grp, CASE WHEN allowed THEN 'allowed' WHEN own THEN 'own' WHEN spread THEN 'alias' ELSE 'none' END AS reason FROM m JOIN s ON m.grp = s.grp)
+SELECT page_id, url, a AS url_key, grp AS "group", coalesce(reason IN ('own', 'alias'), false) AS blocked, coalesce(reason, 'none') AS reason
+FROM k LEFT JOIN v ON a = key
+"""
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every slot of the schedule with the pieces of documents in its block."""
     return mixing.schedule(_table(spark, sf_dir, "documents"))
@@ -86,10 +138,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language": op3_language,
     "op4_media": op4_media,
     "op5_near_copies": op5_near_copies,
+    "op6_urls": op6_urls,
     "op7_mixing": op7_mixing,
     "op8_bpe": op8_bpe,
     "op9_packed_ids": op9_packed_ids,
     "op10_toxicity": op10_toxicity,
 }
 
-SQL: dict[str, str] = {"op7_mixing": OP7_SQL}
+SQL: dict[str, str] = {"op6_urls": OP6_SQL, "op7_mixing": OP7_SQL}
