@@ -35,7 +35,7 @@ from . import _shared, _text
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 10 << 20
 TOKENS = "doc_id bigint, token_ids array<int>, n_tokens int"
 
 
