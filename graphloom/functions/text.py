@@ -336,7 +336,11 @@ def mention_key(folded: Column) -> Column:
 def ngrams(key: Column, most: int = 4) -> Column:
     """All runs of 1 to ``most`` words."""
     w = F.filter(F.split(key, " "), lambda x: x != "")
-    runs = [F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i, n=n: F.array_join(F.slice(w, i + 1, n), " ")) for n in range(1, most + 1)]
+
+    def of(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.array_join(F.slice(w, i + 1, n), " "))
+
+    runs = [of(n) for n in range(1, most + 1)]
     none = F.array().cast("array<string>")
     return F.concat(*[F.when(F.size(w) >= n, r).otherwise(none) for n, r in enumerate(runs, 1)])
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import scalar
+from . import graphs, relational, scalar
 
-MODULES = (scalar,)
+MODULES = (relational, scalar, graphs)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: s for m in MODULES for name, s in m.SQL.items()}
