@@ -26,11 +26,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from . import _shared
 
 SCHEMA = "{key} bigint, status string, width int, height int, components int, thumb_width int, thumb_height int, thumbnail binary, thumb_md5 string, difference_hash bigint"
+#: Bytes of pictures decoded, and of pages rendered, at a time.
+DECODED = 8 << 20
+RENDERED = 1 << 20
 ZIGZAG = np.array(sorted(range(64), key=lambda i: (i // 8 + i % 8, i // 8 if (i // 8 + i % 8) % 2 else i % 8)))
 DC_CODES = (bytes([0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0]), bytes(range(12)))
 AC_CODES = (
@@ -168,6 +172,27 @@ def lookup(codes: tuple[bytes, bytes]) -> np.ndarray:
     return table
 
 
+@lru_cache(maxsize=64)
+def strides(codes: tuple[bytes, bytes]) -> np.ndarray:
+    """By the next 16 bits: bits << 16 | coefficients << 8 | end of block, over all AC symbols that lie in them whole; 0 if there is none."""
+    table = lookup(codes)
+    window = np.arange(1 << 16)
+    used, ahead = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+    ended, live = np.zeros(1 << 16, bool), np.arange(1 << 16)
+    while len(live):
+        found = table[(window[live] << used[live]) & 0xFFFF]
+        symbol = found & 255
+        need = (found >> 8) + (symbol & 15)
+        step = np.where(symbol == 0, 0, np.where(symbol == 0xF0, 16, (symbol >> 4) + 1))
+        ok = (found > 0) & (used[live] + need <= 16) & (ahead[live] + step <= 63)
+        live, need, step, symbol = live[ok], need[ok], step[ok], symbol[ok]
+        used[live] += need
+        ahead[live] += step
+        ended[live] = symbol == 0
+        live = live[symbol != 0]
+    return (used << 16 | ahead << 8 | ended).astype(np.int32)
+
+
 def _peek(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The 16 bits at a bit position."""
     byte = at >> 3
@@ -183,6 +208,7 @@ def decode(images: list[Image]) -> list[np.ndarray | None]:
     names = sorted({t for i in used for pair in images[i].tables for t in pair})
     number = {t: k for k, t in enumerate(names)}
     luts = np.stack([lookup(t) for t in names])
+    leaps = np.stack([strides(t) for t in names])
     widest = max(len(images[i].owner) for i in used)
     lane_image, lane_data, lane_units, lane_first = [], [], [], []
     for i in used:
@@ -225,13 +251,18 @@ def decode(images: list[Image]) -> list[np.ndarray | None]:
         within = block[live] % per[of]
         dc = k[live] == 0
         at = pos[live]
-        found = luts[table[of, within, np.where(dc, 0, 1)], _peek(data, at)]
+        window = _peek(data, at)
+        found = luts[table[of, within, np.where(dc, 0, 1)], window]
         length, symbol = found >> 8, found & 255
         bits = np.where(dc, symbol, symbol & 15)
-        bad = (length == 0) | (dc & (symbol > 11))
-        after = at + length + bits
+        leap = leaps[table[of, within, 1], window]
+        ahead = k[live] + (leap >> 8 & 255)
+        many = ~dc & (leap > 0) & (ahead <= 63)  # several AC symbols at once, if the block doesn't end without a sign
+        bad = ~many & ((length == 0) | (dc & (symbol > 11)))
+        after = at + np.where(many, leap >> 16, length + bits)
         bad |= after > stop[live]
         step = np.where(dc, 1, np.where(symbol == 0, 64, k[live] + np.where(symbol == 0xF0, 16, (symbol >> 4) + 1)))
+        step = np.where(many, np.where(leap & 1, 64, ahead), step)
         bad |= step > 64
         d = np.flatnonzero(dc & ~bad)
         if len(d):
@@ -287,15 +318,25 @@ def difference_hash(thumb: np.ndarray) -> int:
     return int(np.packbits(bits).view(">i8")[0])
 
 
-def describe(media: DataFrame, key: str = "media_id", column: str = "media", batch_images: int = 1024) -> DataFrame:
+def by_bytes(batch: pa.RecordBatch, limit: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about ``limit`` bytes in its second column, one row at least."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < batch.num_rows:
+        before = size[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(size, before + limit, "right")))
+        yield batch.slice(first, last - first)
+        first = last
+
+
+def describe(media: DataFrame, key: str = "media_id", column: str = "media", batch_bytes: int = DECODED) -> DataFrame:
     """Status, dimensions, thumbnail and hashes of every row."""
     _shared.require(media, key, column)
     rows = media.select(F.col(key).cast("bigint").alias(key), F.col(column).cast("binary").alias(column))
 
     def described(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, batch_images):
-                some = batch.slice(a, batch_images)
+            for some in by_bytes(batch, batch_bytes):
                 data = some.column(1).to_pylist()
                 images = [parse(x or b"") for x in data]
                 thumbs = decode(images)
@@ -340,26 +381,42 @@ _COSINE = np.array([[(np.sqrt(1 / 8) if u == 0 else 0.5) * np.cos((2 * x + 1) *
 def _blocks(plane: np.ndarray, h: int, v: int, rows: int, across: int) -> np.ndarray:
     """(MCU, block, 64) zigzag coefficients before quantising."""
     high, wide = rows * v * 8, across * h * 8
-    padded = np.pad(plane, ((0, high - plane.shape[0]), (0, wide - plane.shape[1])), "edge").astype(np.float64) - 128
+    y, x = plane.shape
+    padded = np.empty((high, wide))
+    padded[:y, :x] = plane
+    padded[y:, :x] = padded[y - 1, :x]
+    padded[:, x:] = padded[:, x - 1 : x]
+    padded -= 128
     tiles = padded.reshape(rows, v, 8, across, h, 8).transpose(0, 3, 1, 4, 2, 5).reshape(rows * across, v * h, 8, 8)
     return (_COSINE @ tiles @ _COSINE.T).reshape(rows * across, v * h, 64)[:, :, ZIGZAG]
 
 
 def encode(planes: list[np.ndarray], width: int, height: int, factors: list[tuple[int, int]], dc_step: int = 8, ac_step: int = 100, interval: int = 0) -> bytes:
     """A small baseline encoder: planes of pixels at their own resolution, with sampling factors."""
+    return encode_all([(planes, width, height)], factors, dc_step, ac_step, interval)[0]
+
+
+def encode_all(images: list[tuple[list[np.ndarray], int, int]], factors: list[tuple[int, int]], dc_step: int = 8, ac_step: int = 100, interval: int = 0) -> list[bytes]:
+    """Encode (planes, width, height) with the same factors: their blocks go through each step together."""
+    if len(factors) == 1:
+        factors = [(1, 1)]
     most_h, most_v = max(f[0] for f in factors), max(f[1] for f in factors)
-    if len(planes) == 1:
-        factors, most_h, most_v = [(1, 1)], 1, 1
-    across, rows = -(-width // (8 * most_h)), -(-height // (8 * most_v))
     step = np.r_[dc_step, np.full(63, ac_step)]
-    parts = [np.rint(_blocks(p, h, v, rows, across) / step).astype(np.int64) for p, (h, v) in zip(planes, factors, strict=True)]
-    units = rows * across
-    coefficients = np.concatenate(parts, 1).reshape(-1, 64)
-    owner = np.tile(np.repeat(np.arange(len(parts)), [p.shape[1] for p in parts]), units)
-    mcu = np.repeat(np.arange(units), len(owner) // units)
-    segment = mcu // interval if interval else np.zeros_like(mcu)
+    every, units = [], []
+    for planes, width, height in images:
+        across, rows = -(-width // (8 * most_h)), -(-height // (8 * most_v))
+        every.append(np.concatenate([_blocks(p, h, v, rows, across) for p, (h, v) in zip(planes, factors, strict=True)], 1))
+        units.append(rows * across)
+    units = np.array(units)
+    coefficients = np.rint(np.concatenate(every).reshape(-1, 64) / step).astype(np.int64)
+    per = [h * v for h, v in factors]
+    owner = np.tile(np.repeat(np.arange(len(per)), per), int(units.sum()))
+    pieces = -(-units // interval) if interval else np.ones_like(units)  # segments of each image
+    first = np.cumsum(pieces) - pieces
+    mcu = np.arange(units.sum()) - np.repeat(np.cumsum(units) - units, units)
+    segment = np.repeat(np.repeat(first, units) + (mcu // interval if interval else 0), sum(per))
     diff = coefficients[:, 0].copy()
-    for c in range(len(parts)):
+    for c in range(len(per)):
         at = np.flatnonzero(owner == c)
         same = segment[at[1:]] == segment[at[:-1]]
         diff[at[1:][same]] -= coefficients[at[:-1][same], 0]
@@ -369,7 +426,8 @@ def encode(planes: list[np.ndarray], width: int, height: int, factors: list[tupl
     length, key = [dc[1][size] + size], [np.arange(len(diff)) * 256]
     block, k = np.nonzero(coefficients[:, 1:])
     value = coefficients[block, k + 1]
-    before = np.where(np.r_[True, block[1:] != block[:-1]], -1, np.r_[0, k[:-1]]) if len(k) else k
+    before = np.full(len(k), -1)
+    before[1:] = np.where(block[1:] == block[:-1], k[:-1], -1)
     run = k - before - 1
     size = np.frexp(np.abs(value).astype(np.float64))[1]
     symbol = (run & 15) << 4 | size
@@ -389,35 +447,40 @@ def encode(planes: list[np.ndarray], width: int, height: int, factors: list[tupl
     order = np.argsort(np.concatenate(key), kind="stable")
     code, length = np.concatenate(code)[order], np.concatenate(length)[order]
     of = segment[np.concatenate(key)[order] // 256]
-    stream = []
-    for s in range(int(segment[-1]) + 1):
-        c, n = code[of == s], length[of == s]
-        end = np.cumsum(n)
-        bits = (np.repeat(c, n) >> (np.repeat(end, n) - 1 - np.arange(end[-1]))) & 1
-        bits = np.r_[bits, np.ones(-len(bits) % 8, np.int64)]
-        stream.append(np.packbits(bits.astype(np.uint8)).tobytes().replace(b"\xff", b"\xff\x00"))
-    scan = stream[0] + b"".join(bytes([0xFF, 0xD0 + (i % 8)]) + s for i, s in enumerate(stream[1:]))
+    own = np.bincount(of, length)
+    whole = -(-own // 8)
+    shift = (8 * (np.cumsum(whole) - whole) - (np.cumsum(own) - own)).astype(np.int64)
+    end = np.cumsum(length)
+    flat = (np.repeat(code, length) >> (np.repeat(end, length) - 1 - np.arange(end[-1]))) & 1
+    bits = np.ones(8 * int(whole.sum()), np.uint8)
+    bits[np.arange(end[-1]) + np.repeat(shift[of], length)] = flat
+    packed, edge = np.packbits(bits).tobytes(), np.cumsum(whole).astype(np.int64).tolist()
+    stream = [packed[i:j].replace(b"\xff", b"\xff\x00") for i, j in zip([0, *edge], edge, strict=False)]
     head = lambda marker, body: bytes([0xFF, marker]) + (len(body) + 2).to_bytes(2, "big") + body
-    out = b"\xff\xd8" + head(0xDB, b"\0" + bytes(step.tolist()))
-    out += head(0xC0, b"\x08" + height.to_bytes(2, "big") + width.to_bytes(2, "big") + bytes([len(planes)]) + b"".join(bytes([i + 1, h << 4 | v, 0]) for i, (h, v) in enumerate(factors)))
-    out += head(0xC4, b"\x00" + DC_CODES[0] + DC_CODES[1]) + head(0xC4, b"\x10" + AC_CODES[0] + AC_CODES[1])
-    if interval:
-        out += head(0xDD, interval.to_bytes(2, "big"))
-    return out + head(0xDA, bytes([len(planes)]) + b"".join(bytes([i + 1, 0]) for i in range(len(planes))) + b"\x00\x3f\x00") + scan + b"\xff\xd9"
-
-
-def render(data: bytes, kind: int) -> bytes:
-    """A page as a picture: each byte of its whole text is a pixel, 64 in a row; grey, colour, or subsampled colour with restarts."""
-    width = 64
-    flat = np.frombuffer(data or b" ", np.uint8)
-    height = min(65_535, -(-len(flat) // width))
-    width = max(width, -(-len(flat) // height))
-    y = np.pad(flat, (0, width * height - len(flat)), constant_values=32).reshape(height, width)
-    if kind == 0:
-        return encode([y], width, height, [(1, 1)])
-    if kind == 1:
-        return encode([y, 255 - y, y // 2], width, height, [(1, 1)] * 3)
-    return encode([y, y[::2, ::2], 255 - y[::2, ::2]], width, height, [(2, 2), (1, 1), (1, 1)], interval=4)
+    shape = bytes([len(per)]) + b"".join(bytes([i + 1, h << 4 | v, 0]) for i, (h, v) in enumerate(factors))
+    tables = head(0xC4, b"\x00" + DC_CODES[0] + DC_CODES[1]) + head(0xC4, b"\x10" + AC_CODES[0] + AC_CODES[1])
+    tables += head(0xDD, interval.to_bytes(2, "big")) if interval else b""
+    tables += head(0xDA, bytes([len(per)]) + b"".join(bytes([i + 1, 0]) for i in range(len(per))) + b"\x00\x3f\x00")
+    start, out = b"\xff\xd8" + head(0xDB, b"\0" + bytes(step.tolist())), []
+    for (_, width, height), a, n in zip(images, first.tolist(), pieces.tolist(), strict=True):
+        scan = stream[a] + b"".join(bytes([0xFF, 0xD0 + (i % 8)]) + s for i, s in enumerate(stream[a + 1 : a + n]))
+        out.append(start + head(0xC0, b"\x08" + height.to_bytes(2, "big") + width.to_bytes(2, "big") + shape) + tables + scan + b"\xff\xd9")
+    return out
+
+
+def render(pages: list[bytes], kind: int) -> list[bytes]:
+    """Pages as pictures: each byte of a whole text is a pixel, 64 in a row; grey, colour, or subsampled colour with restarts."""
+    images = []
+    for data in pages:
+        flat = np.frombuffer(data or b" ", np.uint8)
+        height = min(65_535, -(-len(flat) // 64))
+        width = max(64, -(-len(flat) // height))
+        y = np.full(width * height, 32, np.uint8)
+        y[: len(flat)] = flat
+        y = y.reshape(height, width)
+        images.append(([[y], [y, 255 - y, y // 2], [y, y[::2, ::2], 255 - y[::2, ::2]]][kind], width, height))
+    factors = [[(1, 1)], [(1, 1)] * 3, [(2, 2), (1, 1), (1, 1)]][kind]
+    return encode_all(images, factors, interval=4 if kind == 2 else 0) if images else []
 
 
 def pages_media(pages: DataFrame) -> DataFrame:
@@ -427,10 +490,13 @@ def pages_media(pages: DataFrame) -> DataFrame:
 
     def rendered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                some = batch.slice(a, 256)
+            for some in by_bytes(batch, RENDERED):
                 ids, html = some.column(0).to_pylist(), some.column(1).to_pylist()
-                media = [None if x is None else render(x, (i or 0) % 3) for i, x in zip(ids, html, strict=True)]
+                media: list[bytes | None] = [None] * len(ids)
+                for kind in range(3):
+                    at = [k for k, (i, x) in enumerate(zip(ids, html, strict=True)) if x is not None and (i or 0) % 3 == kind]
+                    for k, picture in zip(at, render([html[k] for k in at], kind), strict=True):
+                        media[k] = picture
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(media, pa.binary())], ["page_id", "media"])
 
     return rows.mapInArrow(rendered, "page_id bigint, media binary")
