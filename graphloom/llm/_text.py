@@ -1,6 +1,6 @@
 """Vectorised text primitives over Arrow string columns: no per-word Python.
 
-Every function works on blocks of a few megabytes of UTF-8 bytes, so memory
+Every function works on blocks of a megabyte of UTF-8 bytes, so memory
 doesn't depend on the length of a document; a longer document is cut between
 words and its parts carry the same owner.
 """
@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK = 1 << 22
+BLOCK = 1 << 20
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 

@@ -1,7 +1,7 @@
 """SimHash near-duplicates over a Gray-order hierarchical index.
 
 Fingerprints have 128 bits, from the distinct long words and word pairs of the
-whole text, each with one vote. Candidate search spreads over ``tables``: each takes a seeded order of
+whole text, each with one vote (one in each megabyte of longer texts). Candidate search spreads over ``tables``: each takes a seeded order of
 the bits, turns the reordered fingerprint into its Gray rank, and shuffles by
 the first ``prefix`` bits of the rank, so that a task sees runs of
 fingerprints in Gray order. Over each run a hierarchical index is built:
