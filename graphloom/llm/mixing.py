@@ -123,12 +123,12 @@ def mix(docs: DataFrame, targets: dict[str, float] | None = None, tokens: Column
     spark, names = docs.sparkSession, docs.columns
     pieces, repeats = _pieces(docs, targets, tokens, block_tokens, seed)
     chosen = pieces.where("token_from = 0")
-    keys = chosen.select(F.col("slot").alias("_slot"), F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"))
-    keys = _shared.cut(keys)
+    slot, key, mark = _shared.fresh(names, "_slot", "_id", "_mark")
+    keys = _shared.cut(chosen.select(F.col("slot").alias(slot), F.col("doc_id").alias(key), F.col("mark").alias(mark)))
     # a repeated row is scheduled as often as it occurs, so it is joined once
     once = docs if repeats.isEmpty() else docs.dropDuplicates(["doc_id", "text"])
-    joined = once.join(keys, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_mark")))
-    n = max(1, (keys.agg(F.max("_slot")).first()[0] or 0) + 1)
+    joined = once.join(keys, F.col("doc_id").cast("bigint").eqNullSafe(F.col(key)) & F.xxhash64(F.col("text").cast("string")).eqNullSafe(F.col(mark)))
+    n = max(1, (keys.agg(F.max(slot)).first()[0] or 0) + 1)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = joined.repartitionById(parts, F.least(F.lit(parts - 1), F.floor(F.col("_slot") * parts / n)).cast("int")).sortWithinPartitions("_slot", "_id")
+    ordered = joined.repartitionById(parts, F.least(F.lit(parts - 1), F.floor(F.col(slot) * parts / n)).cast("int")).sortWithinPartitions(slot, key)
     return ordered.select(*[F.col(f"`{c}`") for c in names])

@@ -79,6 +79,9 @@ def fit_grades(features: list[np.ndarray], toxic: np.ndarray, least: int = LEAST
     distinct = {f.tobytes(): i for i, f in reversed(list(enumerate(features)))}
     buckets, holders = np.unique(np.concatenate([features[i] for i in distinct.values()]), return_counts=True)
     words = buckets[holders >= least]
+    if not len(words):  # nothing to tell them apart by: the base rate
+        rate = np.log((n - toxic.sum() + 1) / (toxic.sum() + 1))
+        return Model(empty, np.zeros(0), np.full(GRADES - 1, rate))
     rows = [np.searchsorted(words, f[np.isin(f, words, assume_unique=True)]) for f in features]
     row = np.repeat(np.arange(n), [len(r) for r in rows])
     column = np.concatenate(rows) if rows else empty
