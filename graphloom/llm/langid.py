@@ -186,6 +186,7 @@ def _scorer(spark: SparkSession, model: Model):
     def scored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for text in texts:
             yield score(text, shared.value)
+            _shared.release()
 
     return scored.asNondeterministic()
 

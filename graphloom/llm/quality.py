@@ -162,6 +162,7 @@ def _scorer(spark: SparkSession, model: Model):
     def scored(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for ids, text in columns:
             yield score(ids, text, shared.value)
+            _shared.release()
 
     udf = scored.asNondeterministic()
     return lambda: udf(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))

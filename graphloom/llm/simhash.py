@@ -93,6 +93,7 @@ def fingerprints(text: pa.Array) -> np.ndarray:
 @F.arrow_udf(BinaryType())
 def _fingerprint(text: pa.Array) -> pa.Array:
     flat = fingerprints(text)
+    _shared.release()
     whole = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(text), [None, pa.py_buffer(np.ascontiguousarray(flat))]) if len(text) else pa.array([], pa.binary(16))
     return pa.compute.if_else(text.is_null(), pa.scalar(None, pa.binary()), whole.cast(pa.binary()))
 
@@ -275,6 +276,7 @@ def _matched(prints: DataFrame, radius: int, prefix: int, recall: float, seed: i
                 keys, ranks = keys[whole:], ranks[whole:]
         if len(keys):
             yield from pairs(keys, ranks)
+        _shared.release()
 
     return _spread(prints, tables, prefix, seed).mapInArrow(matches, "a binary, b binary, distance int")
 
