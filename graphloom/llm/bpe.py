@@ -191,6 +191,8 @@ def _numbered_blocks(batches: Iterable[pa.RecordBatch], buckets: int) -> Iterato
                 sizes[rows.column("text").is_null().to_numpy(zero_copy_only=False)] = -1
                 one = {"block": block, "doc_id": rows.column("doc_id").to_pylist(), "mark": rows.column("mark").to_pylist(), "sizes": sizes.tolist(), "n_words": len(number), "n_distinct": len(words), "numbers": _pack(number)}
                 yield pa.RecordBatch.from_pylist([one], _NUMBERS)
+            del words, number
+            _shared.release()
 
 
 def encode(docs: DataFrame, vocabulary: str = VOCABULARY, stored: bool = True) -> DataFrame:
@@ -223,6 +225,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, stored: bool = True) -
             flat, placed = expand(number[a : a + r["n"]], np.ones(r["n"], np.int64), ids, offsets)
             a += r["n"]
             out.append({"block": r["block"], "n": r["n"], "at": r["at"], "lengths": _pack(np.diff(placed)), "ids": _pack(flat), "n_ids": len(flat)})
+        _shared.release()
         return pa.Table.from_pylist(out, _IDS)
 
     def place(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -243,6 +246,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, stored: bool = True) -
         sizes = np.array(one["sizes"], np.int64)
         flat, ends = expand(_unpack(one["numbers"], one["n_words"]), np.maximum(sizes, 0), ids, offsets)
         null = sizes < 0
+        _shared.release()
         return pa.table({"doc_id": pa.array(one["doc_id"], pa.int64()), "token_ids": id_lists(flat, ends, null), "n_tokens": pa.array(np.diff(ends).astype(np.int32), mask=null), "mark": pa.array(one["mark"], pa.int64())})
 
     words = rows.mapInArrow(words_of, "bucket int, block bigint, n int, at binary, sizes binary, words binary, n_bytes bigint")
@@ -276,5 +280,7 @@ def decode(tokens: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
                 text = pa.array([x.decode("utf-8", "replace") for x in whole.to_pylist()], pa.large_string())
             text = pa.compute.if_else(ids.is_null(), pa.scalar(None, pa.large_string()), text)
             yield pa.RecordBatch.from_arrays([*batch.columns, text.cast(pa.string())], [*batch.schema.names, "decoded"])
+            del joined, whole, text, data
+            _shared.release()
 
     return rows.mapInArrow(text_of, StructType([*rows.schema.fields, StructField("decoded", StringType())]))
