@@ -125,6 +125,7 @@ def write_ids(docs: DataFrame, vocabulary: str = bpe.VOCABULARY, percentile: flo
                 flat, ends = bpe.encode_local(whole.slice(first, last - first), vocabulary, known)
                 null = batch.column("text").slice(first, last - first).is_null().to_numpy(zero_copy_only=False)
                 yield _packed(batch.column("doc_id").slice(first, last - first), flat, ends, null, percentile)
+            _shared.release()
 
     return rows.mapInArrow(packed, PACKED)
 
