@@ -4,21 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-STOP_SHORT = "the a an and or in on at to for of with is what how why who i me my can be when".split()
-STOP_LONG = "the a an and or in on at to for of with is what how why who i me my are was were be been have has had do does did will would this that these those there here".split()
-ROLE_STOP = "a an and as by for from in into is of on or part the to with".split()
+STOP_SHORT = "a i be me of an in on to or is at my and the can who for how why with when what".split()
+STOP_LONG = "a i be me of an in on do to or is at my had did and the are who for has was how why here were have with will been does this that what would there these those".split()
+ROLE_STOP = "a of an in on to or as is by and the for with from into part".split()
 PUNCTUATION = r"!-/:-@\[-`{-~"
 ZERO_WIDTH = "[​‌‍﻿⁠]"
-CODE_TYPES = ("FUNCTION", "METHOD", "CLASS", "MODULE", "PACKAGE", "VARIABLE", "INTERFACE", "EXCEPTION", "CONFIG")
-ENTITY_INSTRUCTION = "Retrieve ontology entities whose descriptions best explain the user's state, process, causal mechanism, or source of exhaustion."
-RELATION_INSTRUCTION = "Retrieve relationship descriptions that best explain the user's question, especially causes, mechanisms, tensions, and energy depletion."
+CODE_TYPES = tuple("CLASS CONFIG EXCEPTION FUNCTION INTERFACE METHOD MODULE PACKAGE VARIABLE".split())
+ENTITY_INSTRUCTION = "Find the entities whose description bears on the question."
+RELATION_INSTRUCTION = "Find the relations that explain the answer: causes, means and conflicts."
 INJECTIONS = (
-    r"(?i)ignore\s+(?:all\s+)?(?:previous|prior)\s+(?:instructions?|directions?)",
-    r"(?i)you\s+(?:are\s+)?(?:now\s+)?(?:a\s+)?(?:new\s+)?(?:assistant|system|model)",
-    r"(?i)disregard\s+(?:all\s+)?(?:previous|prior)\s+(?:instructions?|directives?)",
-    r"(?i)new\s+(?:instructions?|directives?)\s*:",
+    r"(?i)ignore\s+(?:all\s+)?pr(?:evious|ior)\s+(?:instruct|direct)ions?",
+    r"(?i)you\s+(?:are\s+)?(?:now\s+)?(?:a\s+)?(?:new\s+)?(?:model|system|assistant)",
+    r"(?i)disregard\s+(?:all\s+)?pr(?:evious|ior)\s+(?:directive|instruction)s?",
+    r"(?i)new\s+(?:directive|instruction)s?\s*:",
     r"<\s*system\s*>",
-    r"(?i)base64\s*:\s*[A-Za-z0-9+/=]{50,}",
+    r"(?i)base64\s*:\s*[0-9a-z+/=]{50,}",
 )
 MOST_CHARS = 16_000
 #: Ordered: the first family with a key inside the upper-case type wins.
@@ -40,8 +40,9 @@ FAMILIES = (
 NAME_FAMILIES = (("application_use", "practice|technique|method|uses|used in"), ("causal", "effect|outcome|state|sensation|manifests"))
 LAST_FAMILY = ("associative", "ASSOCIATED|RELATED|INTERACT|COMBINED|CO_EQUAL")
 #: For ties between families.
-FAMILY_ORDER = ("definitional", "taxonomic", "compositional", "causal", "regulatory", "therapeutic", "constraint", "temporal", "supporting_evidence", "representation", "application_use", "location_path", "bibliographic", "associative", "generic_other")
-REL_GROUPS = {"CALLS": "behavior", "USES": "behavior", "DEPENDS_ON": "behavior", "REFERENCES": "behavior", "IMPORTS": "behavior", "DEFINES": "structure", "EXTENDS": "structure", "IMPLEMENTS": "structure", "DOCUMENTS": "evidence", "TESTS": "evidence", "RELATES_TO": "generic"}
+FAMILY_ORDER = tuple("definitional taxonomic compositional causal regulatory therapeutic constraint temporal supporting_evidence representation application_use location_path bibliographic associative generic_other".split())
+_GROUPS = {"behavior": "CALLS USES DEPENDS_ON REFERENCES IMPORTS", "structure": "DEFINES EXTENDS IMPLEMENTS", "evidence": "DOCUMENTS TESTS", "generic": "RELATES_TO"}
+REL_GROUPS = {kind: group for group, kinds in _GROUPS.items() for kind in kinds.split()}
 
 
 def squeeze(c: Column) -> Column:
@@ -81,8 +82,9 @@ def uuid5(namespace: Column, name: Column) -> Column:
 NAMESPACE_URL = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
 
 
-def collection_namespace(collection: Column) -> Column:
-    return uuid5(F.lit(NAMESPACE_URL), F.concat(F.lit("graph-core:collection:"), collection))
+def collection_namespace(collection: Column, prefix: str = "collection:") -> Column:
+    """Two systems give the same ids if they use the same prefix."""
+    return uuid5(F.lit(NAMESPACE_URL), F.concat(F.lit(prefix), collection))
 
 
 def normalize_path(c: Column) -> Column:

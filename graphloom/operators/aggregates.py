@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from graphloom.functions import text
 
-ROUTES = {
-    "hub": ("CALLS", "USES", "EMITS", "SENDS", "SPAWNS"),
-    "authority": ("DEFINES", "EXTENDS", "IMPLEMENTS", "CONTAINS", "AUTHORED_BY"),
-    "bridge": ("DEPENDS_ON", "CONNECTS_TO", "GUARDS", "AUTHORIZES", "AUTHENTICATES"),
-    "central": ("IMPORTS", "REFERENCES", "RELATES_TO", "ABOUT"),
-    "importance": ("DOCUMENTS", "DESCRIBES", "SUMMARIZES", "PROVES"),
+_ROUTES = {
+    "hub": "CALLS USES EMITS SENDS SPAWNS",
+    "authority": "DEFINES EXTENDS IMPLEMENTS CONTAINS AUTHORED_BY",
+    "bridge": "DEPENDS_ON CONNECTS_TO GUARDS AUTHORIZES AUTHENTICATES",
+    "central": "IMPORTS REFERENCES RELATES_TO ABOUT",
+    "importance": "DOCUMENTS DESCRIBES SUMMARIZES PROVES",
 }
+ROUTES = {route: tuple(kinds.split()) for route, kinds in _ROUTES.items()}
 BASE = {"central": 1.0, "importance": 0.8}
 
 

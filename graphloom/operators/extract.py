@@ -12,12 +12,13 @@ from graphloom.functions import text
 
 ENDPOINT = "struct<name:string,description:string>"
 TRIPLES = "chunk_id string, pass int, ord int, source string, source_description string, target string, target_description string, rel_type string, description string, keywords array<string>, weight double"
-TAXONOMY = {
-    "value_operations": ("evaluate", "compare", "convert", "construct", "destructure"),
-    "name_place_operations": ("bind", "rebind", "mutate", "access"),
-    "control_operations": ("branch", "iterate", "call", "return", "signal", "handle"),
-    "effect_operations": ("communicate", "allocate_resource", "release_resource", "synchronize"),
+_OPERATIONS = {
+    "value_operations": "evaluate compare convert construct destructure",
+    "name_place_operations": "bind rebind mutate access",
+    "control_operations": "branch iterate call return signal handle",
+    "effect_operations": "communicate allocate_resource release_resource synchronize",
 }
+TAXONOMY = {group: tuple(names.split()) for group, names in _OPERATIONS.items()}
 
 
 def endpoint(value: object) -> tuple[str, str] | None:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from graphloom.functions import text, udfs
 
 PROSE = ("\n\n", "\n", " ", "")
-CODE = ("\nclass ", "\ndef ", "\nasync def ", "\nfunction ", "\nconst ", "\nlet ", "\nvar ", "\nif ", "\nfor ", "\nwhile ", "\nswitch ", "\ntry", *PROSE)
+CODE = (*[f"\n{w}" for w in "class |def |async def |function |const |let |var |if |for |while |switch |try".split("|")], *PROSE)
 LANGUAGES = (
     ("python", r"(?m)^\s*(def \w+\(|class \w+.*:|from [\w.]+ import |import \w+\s*$)"),
     ("go", r"(?m)^\s*(package \w+\s*$|func (\(\w+ \*?\w+\) )?\w+\()"),

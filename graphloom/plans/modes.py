@@ -12,7 +12,8 @@ from graphloom.operators import aggregates, graph, knn, mentions, traverse
 from graphloom.sources import tables
 
 RESULT = "response string, entities_used array<string>, relationships_used array<string>, mode string"
-MODES = {"local": "entity-first", "ent": "entity-first", "entity": "entity-first", "entity-first": "entity-first", "rel": "relationship-first", "relationship": "relationship-first", "relationship-first": "relationship-first", "hyb": "hybrid", "hybrid": "hybrid", "mix": "mix"}
+_NAMES = {"entity-first": "local ent entity entity-first", "relationship-first": "rel relationship relationship-first", "hybrid": "hyb hybrid", "mix": "mix"}
+MODES = {name: mode for mode, names in _NAMES.items() for name in names.split()}
 ENTITY_BUDGET, RELATION_BUDGET, CHUNK_BUDGET = 6_000, 8_000, 30_000
 
 

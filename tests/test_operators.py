@@ -319,15 +319,15 @@ def test_fan_out_is_idempotent(spark):
 
 
 def test_modes_answer(spark):
-    e = spark.createDataFrame([("1", "Krishna", "PERSON"), ("2", "Arjuna", "PERSON"), ("3", "Soup", "FOOD")], "id string, name string, primary_type string")
-    named = spark.createDataFrame([("r", "1", "2", "TEACHES", 5, ["duty"], "Krishna", "Arjuna"), ("s", "3", "2", "FEEDS", 1, [], "Soup", "Arjuna")], EDGE + ", source_name string, target_name string")
-    chunks = spark.createDataFrame([(1, "Krishna teaches Arjuna about duty and devotion."), (2, "A recipe for lentil soup uses cumin and turmeric.")], "document_id int, content string")
-    engine = modes.Engine(e, spark.createDataFrame([("2", "Partha")], "entity_id string, alias_name string"), named, chunks)
-    assert engine.query("What does Krishna teach Arjuna?", "vector").first().response.startswith("Krishna teaches")
-    assert [r.entity_id for r in engine.mentioned("Who is Partha, Krishna?").collect()] == ["1", "2"]
-    got = engine.query("What does Krishna teach Arjuna about duty?", mode="mix").first()
+    e = spark.createDataFrame([("1", "Wren", "PERSON"), ("2", "Ivo", "PERSON"), ("3", "Soup", "FOOD")], "id string, name string, primary_type string")
+    named = spark.createDataFrame([("r", "1", "2", "TEACHES", 5, ["sewing"], "Wren", "Ivo"), ("s", "3", "2", "FEEDS", 1, [], "Soup", "Ivo")], EDGE + ", source_name string, target_name string")
+    chunks = spark.createDataFrame([(1, "Wren shows Ivo how sails are sewn."), (2, "Granite cools slowly far below ground.")], "document_id int, content string")
+    engine = modes.Engine(e, spark.createDataFrame([("2", "Ivan")], "entity_id string, alias_name string"), named, chunks)
+    assert engine.query("What does Wren show Ivo about sails?", "vector").first().response.startswith("Wren shows")
+    assert [r.entity_id for r in engine.mentioned("Who is Ivan, Wren?").collect()] == ["1", "2"]
+    got = engine.query("What does Wren teach Ivo about sewing?", mode="mix").first()
     assert got.mode == "mix" and "r" in got.relationships_used and {"1", "2"} <= set(got.entities_used)
-    assert engine.query("Krishna", "light_rag", "no such mode").first().mode == "local"
+    assert engine.query("Wren", "light_rag", "no such mode").first().mode == "local"
 
 
 def test_progress_stream(spark, tmp_path):
