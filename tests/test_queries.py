@@ -12,8 +12,8 @@ from graphloom import queries
 from graphloom.sources import tables
 
 SF = "/root/testdata/sf0.001"
-#: Held against brute force elsewhere, and slow.
-SLOW = {"enumerate_cliques", "pagerank", "hits", "eigenvector"}
+#: Slow, and held against plain Python in test_operators: the walks, modes and centralities behind them.
+SLOW = set("enumerate_cliques pagerank hits eigenvector betweenness harmonic articulation q_naive q_local q_global q_hybrid q_lr_mix graph_hybrid relationship_first anchor_state build_context beam_path".split())
 
 
 @pytest.fixture(scope="module")
