@@ -2,13 +2,14 @@
 
 Every function works on blocks of a megabyte of UTF-8 bytes, so memory
 doesn't depend on the length of a document; a longer document is cut between
-words and its parts carry the same owner.
+words and its parts carry the same owner. Pieces of byte-level BPE are never
+cut, so there a block is as long as its longest piece.
 """
 
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -16,6 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK = 1 << 20
+AHEAD = 16
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -42,8 +44,40 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), offsets
 
 
-def blocks(column: pa.Array, limit: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(bytes, n + 1 starts of parts, owner of each part); parts are whole documents, or cuts of long ones after a space."""
+def word_cut(data: np.ndarray, at: int, end: int, limit: int) -> int:
+    """Where the part of a long document that begins at ``at`` ends: after a space."""
+    window = data[at + limit // 2 : at + limit]
+    gaps = np.flatnonzero(SPACE_BYTE[window])
+    if len(gaps):
+        return at + limit // 2 + int(gaps[-1]) + 1
+    at += limit  # no space: between two characters
+    while data[at] & 0xC0 == 0x80:
+        at -= 1
+    return at
+
+
+def piece_cut(data: np.ndarray, at: int, end: int, limit: int) -> int:
+    """Where the part of a long document that begins at ``at`` ends: before a piece of byte-level BPE, or at the end.
+
+    Cuts follow a character that isn't white space: what white space is split
+    into depends on what comes after it. The last ``AHEAD`` bytes of a window
+    only show what follows.
+    """
+    size = limit
+    while True:
+        window = data[at : min(at + size + AHEAD, end)]
+        starts = piece_starts(window, np.array([0, len(window)]))
+        starts = starts[(starts > 0) & (starts <= size)]
+        starts = starts[_kinds(window)[0][starts - 1] != 0]
+        if len(starts):
+            return at + int(starts[-1] if size == limit else starts[0])
+        if at + size >= end:
+            return end
+        size *= 2
+
+
+def blocks(column: pa.Array, limit: int = BLOCK, cut: Callable[[np.ndarray, int, int, int], int] = word_cut) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(bytes, n + 1 starts of parts, owner of each part); parts are whole documents, or what ``cut`` makes of long ones."""
     data, offsets = raw(column)
     long = np.flatnonzero(np.diff(offsets) > limit)
     owners, starts = np.arange(len(offsets) - 1), offsets[:-1]
@@ -51,15 +85,7 @@ def blocks(column: pa.Array, limit: int = BLOCK) -> Iterator[tuple[np.ndarray, n
         more_owner, more_start = [], []
         for i in long.tolist():
             at, end = int(offsets[i]), int(offsets[i + 1])
-            while end - at > limit:
-                window = data[at + limit // 2 : at + limit]
-                gaps = np.flatnonzero(SPACE_BYTE[window])
-                if len(gaps):
-                    at += limit // 2 + int(gaps[-1]) + 1
-                else:  # no space: between two characters
-                    at += limit
-                    while data[at] & 0xC0 == 0x80:
-                        at -= 1
+            while end - at > limit and (at := cut(data, at, end, limit)) < end:
                 more_owner.append(i)
                 more_start.append(at)
         order = np.argsort(np.r_[starts, more_start], kind="stable")
@@ -139,16 +165,9 @@ def _classes() -> np.ndarray:
     return kind
 
 
-def piece_starts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Where the pieces of byte-level BPE begin.
-
-    The rule in words: a contraction after an apostrophe; or an optional blank
-    and a run of letters, of numbers, or of other signs; or a run of white
-    space, but for its last character where more text follows.
-    """
+def _kinds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Class of the character of each byte, and whether the byte begins it."""
     n = len(data)
-    if not n:
-        return np.zeros(0, np.int64)
     kind = _classes()[data]  # right for ASCII
     lead = np.ones(n, bool)
     high = np.flatnonzero(data >= 128)
@@ -164,6 +183,20 @@ def piece_starts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         for i in (1, 2, 3):
             m = (width > i) & (at + i < n)
             kind[at[m] + i] = of[m]
+    return kind, lead
+
+
+def piece_starts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Where the pieces of byte-level BPE begin.
+
+    The rule in words: a contraction after an apostrophe; or an optional blank
+    and a run of letters, of numbers, or of other signs; or a run of white
+    space, but for its last character where more text follows.
+    """
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.int64)
+    kind, lead = _kinds(data)
     flag = np.zeros(n + 1, bool)
     fresh = np.zeros(n + 1, bool)
     fresh[starts] = True

@@ -12,7 +12,8 @@ size of the vocabulary.
 
 Defined results: a null text has null ids; an empty text has an empty list; a
 repeated row is encoded each time; a null ``doc_id`` stays null; other columns
-are ignored; an empty table gives an empty result. Texts are encoded whole.
+are ignored; an empty table gives an empty result. Texts are encoded whole;
+long ones are read in blocks that end between pieces.
 The input must be re-readable in the same order (a file scan); pass
 ``stored=False`` for anything else and it is first written to the shared folder.
 """
@@ -73,7 +74,7 @@ def slices(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, in
 def numbered(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct words (most frequent first), the number of each word in the texts, words per text."""
     words, sizes = [], np.zeros(len(column), np.int64)
-    for data, starts, owners in _text.blocks(column):
+    for data, starts, owners in _text.blocks(column, cut=_text.piece_cut):
         at = _text.piece_starts(data, starts)
         np.add.at(sizes, owners, np.diff(np.searchsorted(at, starts)))
         offsets = np.append(at, len(data)).astype(np.int32)

@@ -171,6 +171,38 @@ def test_bpe_query_equals_the_tokenizer(docs):
     assert len(rows) == len(text) and all(r.token_ids == enc.encode_ordinary(text[r.doc_id]) for r in rows)
 
 
+def test_long_texts_are_encoded_whole():
+    rng = random.Random(6)
+    words = ["river", "it's", "we'll", "12½", "éà", "日本語", "、", "!?", "''ll", "over"]
+    gaps = [" ", " ", "", "  ", "\n\n", "\u3000", " \t"]
+    texts = [
+        "over the river " * 220_000,
+        "x " * 524_000 + "\n" * 2_000 + "y " * 800_000,
+        "".join(rng.choice(words) + rng.choice(gaps) for _ in range(600_000)),
+        "ab" * 700_000,
+        "語" * 500_000 + "。" + "it's" * 300_000,
+        "a b",
+    ]
+    enc = bpe.encoding(bpe.VOCABULARY)
+    flat, ends = bpe.encode_local(_text.plain(pa.array(texts)), bpe.VOCABULARY, {})
+    for i, text in enumerate(texts):
+        assert flat[ends[i] : ends[i + 1]].tolist() == enc.encode_ordinary(text)
+
+
+def test_cuts_of_small_blocks_leave_the_pieces_alone():
+    rng = random.Random(7)
+    for _ in range(300):
+        text = "".join(rng.choice(["a", "é", "日", " ", " ", "\n", "\u3000", "'", "s", "re", "7", "!"]) for _ in range(rng.randrange(40, 200)))
+        column = _text.plain(pa.array([text]))
+        data, offsets = _text.raw(column)
+        want = _text.piece_starts(data, offsets).tolist()
+        got, base = [], 0
+        for part, starts, _ in _text.blocks(column, 24, _text.piece_cut):
+            got += (_text.piece_starts(part, starts) + base).tolist()
+            base += len(part)
+        assert base == len(data) and got == want
+
+
 def test_packed_blocks_round_trip():
     rng = np.random.default_rng(5)
     lists = [rng.integers(0, 50_000, n).astype(np.int32) for n in (0, 1, 127, 128, 129, 5000)] + [np.zeros(300, np.int32), np.r_[np.zeros(200, np.int32), 2**31 - 2].astype(np.int32)]
