@@ -13,6 +13,10 @@ the k nearest kept.
 r is measured: the 0.9 quantile of the distance to the k-th neighbour over
 ``SAMPLE`` queries (smallest hashes of the id), each against all rows. The
 width is a multiple of r, the number of functions follows the number of rows.
+A round settles the queries that got k neighbours within its r, as their
+probes were enough; the others are asked again in tables for the r of their
+own, measured over a sample of them. When ``EXACT`` or fewer are left, or after
+``ROUNDS`` rounds, the rest are compared with all rows.
 Buckets beyond ``CHUNK`` members are split over tasks, and every query of such
 a bucket goes to all its parts.
 
@@ -42,6 +46,8 @@ WIDTH = 2.0
 SAMPLE = 128
 CHUNK = 20_000
 REACH = 3
+EXACT = 1000
+ROUNDS = 6
 SEED = 5
 MOST_PROBES = 24  # mean number, used to choose the number of functions
 
@@ -120,9 +126,9 @@ def _bucket(cell: np.ndarray, table: int) -> np.ndarray:
     return name.astype(np.int64)
 
 
-def plan_for(vectors: DataFrame, n: int, dimensions: int, k: int = K, tables: int = TABLES, recall: float = RECALL, seed: int = SEED) -> Plan:
-    """Measure the radius over sampled queries against all rows, and choose width and functions."""
-    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
+def plan_for(vectors: DataFrame, n: int, dimensions: int, k: int = K, tables: int = TABLES, recall: float = RECALL, seed: int = SEED, asked: DataFrame | None = None) -> Plan:
+    """Measure the radius over sampled queries (of ``asked``, or of all) against all rows, and choose width and functions."""
+    sample = (vectors if asked is None else asked).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
     ids, x = sample.column("vec_id").to_numpy(), _matrix(sample.column("embedding").combine_chunks())
     shared = vectors.sparkSession.sparkContext.broadcast((ids, x))
 
@@ -161,19 +167,9 @@ def _mean_probes(x: np.ndarray, plan: Plan) -> float:
     return len(query) / max(1, len(inside))
 
 
-def neighbours(vectors: DataFrame, k: int = K, tables: int = TABLES, recall: float = RECALL, seed: int = SEED, chunk: int = CHUNK) -> DataFrame:
-    """(vec_id, neighbour_id, rank, distance): up to k neighbours of every row."""
-    _shared.require(vectors, "vec_id", "embedding")
-    empty = vectors.sparkSession.createDataFrame([], "vec_id bigint, neighbour_id bigint, rank int, distance double")
-    rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & (F.size("embedding") > 0))
-    rows = rows.where(F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))))
-    sizes = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if sizes is None:
-        return empty
-    dimensions, n = sizes
-    rows = rows.where(F.size("embedding") == dimensions)
-    plan = plan_for(rows, n, dimensions, k, tables, recall, seed)
-    shared = vectors.sparkSession.sparkContext.broadcast(plan)
+def _probed(rows: DataFrame, asked: DataFrame, plan: Plan, tables: int, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """Members and visits of each part of each bucket."""
+    shared = rows.sparkSession.sparkContext.broadcast(plan)
 
     def members(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,10 +191,34 @@ def neighbours(vectors: DataFrame, k: int = K, tables: int = TABLES, recall: flo
 
     schema = "bucket bigint, vec_id bigint, embedding array<double>"
     held = rows.mapInArrow(members, schema)
-    asked = rows.mapInArrow(visits, schema)
+    visited = asked.mapInArrow(visits, schema)
     counts = _shared.cut(held.groupBy("bucket").count().select("bucket", F.ceil(F.col("count") / chunk).cast("int").alias("parts")))
     held = held.join(counts, "bucket").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")))
-    asked = asked.join(counts, "bucket").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts").cast("bigint") - 1)))
+    return held, visited.join(counts, "bucket").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts").cast("bigint") - 1)))
+
+
+def _every(rows: DataFrame, n: int, asked: DataFrame, n_asked: int, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """All rows as members, in parts, of each bucket of up to about ``EXACT`` queries."""
+    buckets, parts = -(-n_asked // EXACT), -(-n // chunk)
+
+    def numbers(most: int):
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(most - 1).cast("bigint")))
+
+    held = rows.withColumn("bucket", numbers(buckets)).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)))
+    return held, asked.withColumn("bucket", F.pmod(F.xxhash64("vec_id"), F.lit(buckets))).withColumn("part", numbers(parts))
+
+
+def neighbours(vectors: DataFrame, k: int = K, tables: int = TABLES, recall: float = RECALL, seed: int = SEED, chunk: int = CHUNK, exact: int = EXACT) -> DataFrame:
+    """(vec_id, neighbour_id, rank, distance): up to k neighbours of every row."""
+    _shared.require(vectors, "vec_id", "embedding")
+    empty = vectors.sparkSession.createDataFrame([], "vec_id bigint, neighbour_id bigint, rank int, distance double")
+    rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & (F.size("embedding") > 0))
+    rows = rows.where(F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))))
+    sizes = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    if sizes is None:
+        return empty
+    dimensions, n = sizes
+    rows = rows.where(F.size("embedding") == dimensions)
 
     def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -221,7 +241,20 @@ def neighbours(vectors: DataFrame, k: int = K, tables: int = TABLES, recall: flo
         q, m, d = (np.concatenate(z) for z in zip(*out, strict=True))
         return pa.table({"vec_id": q, "neighbour_id": m, "distance": d})
 
-    found = asked.groupBy("bucket", "part").cogroup(held.groupBy("bucket", "part")).applyInArrow(nearest, "vec_id bigint, neighbour_id bigint, distance double")
-    merged = found.groupBy("vec_id", "neighbour_id").agg(F.min("distance").alias("distance"))
-    rank = F.row_number().over(Window.partitionBy("vec_id").orderBy("distance", "neighbour_id"))
-    return merged.withColumn("rank", rank).where(F.col("rank") <= k).select("vec_id", "neighbour_id", "rank", "distance")
+    def best(held: DataFrame, visited: DataFrame) -> DataFrame:
+        found = visited.groupBy("bucket", "part").cogroup(held.groupBy("bucket", "part")).applyInArrow(nearest, "vec_id bigint, neighbour_id bigint, distance double")
+        merged = found.groupBy("vec_id", "neighbour_id").agg(F.min("distance").alias("distance"))
+        rank = F.row_number().over(Window.partitionBy("vec_id").orderBy("distance", "neighbour_id"))
+        return merged.withColumn("rank", rank).where(F.col("rank") <= k).select("vec_id", "neighbour_id", "rank", "distance")
+
+    out, left, n_left = empty, rows, n
+    for _ in range(ROUNDS):
+        plan = plan_for(rows, n, dimensions, k, tables, recall, seed, left)
+        found = _shared.cut(best(*_probed(rows, left, plan, tables, chunk)))
+        settled = found.groupBy("vec_id").agg(F.count("*").alias("n"), F.max("distance").alias("far")).where((F.col("n") == k) & (F.col("far") <= plan.radius)).select("vec_id")
+        out = out.unionByName(found.join(settled, "vec_id", "left_semi"))
+        left = _shared.cut(left.join(settled, "vec_id", "left_anti"))
+        n_left = left.count()
+        if n_left <= exact:
+            break
+    return out.unionByName(best(*_every(rows, n, left, n_left, chunk))) if n_left else out

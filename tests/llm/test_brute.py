@@ -87,6 +87,23 @@ def test_neighbours_recall(spark):
     assert np.mean([len(want[i] & got[i]) / 10 for i in want]) >= 0.9
 
 
+@pytest.mark.parametrize("exact", [1000, 10])
+def test_neighbours_recall_at_mixed_density(spark, exact):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(20, 64)) * 3
+    x = np.concatenate([centres[rng.integers(0, 20, 1850)] + 0.02 * rng.normal(size=(1850, 64)), 3 * rng.normal(size=(150, 64))])
+    d = np.linalg.norm(x[:, None] - x[None], axis=2)
+    np.fill_diagonal(d, np.inf)
+    want = np.argsort(d, axis=1, kind="stable")[:, :10]
+    got = {}
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id bigint, embedding array<double>")
+    for r in ann.neighbours(table, exact=exact).collect():
+        got.setdefault(r.vec_id, set()).add(r.neighbour_id)
+    recall = np.array([len(set(want[i].tolist()) & got.get(i, set())) / 10 for i in range(2000)])
+    assert all(len(got.get(i, ())) == 10 for i in range(2000))
+    assert recall[:1850].mean() >= 0.9 and recall[1850:].mean() >= 0.9
+
+
 def test_probes_come_in_order_of_success():
     plan = ann.Plan(np.ones((1, 3, 2)), np.zeros((1, 3)), 2.0, 1.0, 0.9)
     query, move = ann.probes(np.array([[0.1, 0.5, 0.9]]), plan)
