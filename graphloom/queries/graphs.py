@@ -138,17 +138,17 @@ def cross_cluster_edges(spark, sf):
 
 @query()
 def pagerank(spark, sf):
-    return N.pagerank(V.relations(spark, sf), tolerance=1e-4)
+    return N.pagerank(V.relations(spark, sf))
 
 
 @query()
 def hits(spark, sf):
-    return N.hits(V.relations(spark, sf), tolerance=1e-2, iterations=20)
+    return N.hits(V.relations(spark, sf))
 
 
 @query()
 def eigenvector(spark, sf):
-    return N.eigenvector(V.relations(spark, sf), tolerance=1e-2, iterations=20)
+    return N.eigenvector(V.relations(spark, sf))
 
 
 @query()
