@@ -99,8 +99,8 @@ def role_pairs(spark, sf):
 
 @query()
 def enumerate_cliques(spark, sf):
-    """Maximal cliques of all nodes with like neighbourhoods, parts by a stricter measure."""
-    pairs = N.role_pairs(V.relations(spark, sf), cosine_min=0.3).select("a", "b", "cosine", "jaccard", "overlap")
+    """Maximal cliques of all nodes with like neighbourhoods, by the thresholds of role_pairs; signatures are untyped."""
+    pairs = N.role_pairs(V.relations(spark, sf)).select("a", "b", "cosine", "jaccard", "overlap")
     return N.cliques(pairs).select(F.array_join("members", "|").alias("members"), "size", "avg_cosine", "avg_jaccard", "total_overlap")
 
 

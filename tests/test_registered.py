@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -79,3 +82,24 @@ def test_eigenvector_settles(spark, small, weights):
     want = np.abs(vector[:, value.argmax()])
     got = _vector(queries.QUERIES["eigenvector"](spark, small).collect(), nodes, "score")
     assert np.abs(got - want).sum() < 1e-6
+
+
+def test_cliques_at_the_threshold_of_role_pairs(spark, tmp_path):
+    """The suppliers share the nation and a part: a cosine of 0.25."""
+    folder = _folder(tmp_path, [1, 2], [(p, 1) for p in range(1, 8)] + [(p, 2) for p in range(7, 14)])
+    tokens = {}
+    for e in tables.relations(spark, folder).collect():
+        tokens.setdefault(e.src, set()).add(("out", e.dst))
+        tokens.setdefault(e.dst, set()).add(("in", e.src))
+    like = set()
+    for a in tokens:
+        for b in tokens:
+            both = len(tokens[a] & tokens[b])
+            if a != b and both >= 2 and both / math.sqrt(len(tokens[a]) * len(tokens[b])) >= 0.2 and both / len(tokens[a] | tokens[b]) >= 0.1:
+                like.add((a, b))
+    nodes = sorted({a for a, _ in like})
+    every = ([v for i, v in enumerate(nodes) if m >> i & 1] for m in range(1, 1 << len(nodes)))
+    full = [s for s in every if all(p in like for p in itertools.combinations(s, 2))]
+    want = ["|".join(s) for s in full if not any(all((u, v) in like for u in s) for v in nodes if v not in s)]
+    assert any("supplier:1|supplier:2" in s for s in want)
+    assert sorted(r.members for r in queries.QUERIES["enumerate_cliques"](spark, folder).collect()) == sorted(want)
