@@ -154,6 +154,66 @@ def test_near_copies_found(spark):
     assert all(got[i].kept and got[i].group_id == i for i in range(60))
 
 
+def _near(rng, base: int, copies: int, flips: int) -> np.ndarray:
+    rows = rng.integers(0, 256, (base, 16), dtype=np.uint8)
+    near = rows[rng.integers(0, base, copies)].copy()
+    for row in near:
+        for bit in rng.integers(0, 128, rng.integers(0, flips)):
+            row[bit // 8] ^= 1 << (bit % 8)
+    return np.unique(np.concatenate([rows, near]), axis=0)
+
+
+@pytest.mark.parametrize("hot", [simhash.HOT, 40])
+def test_near_pairs_against_all_pairs(spark, hot):
+    """The whole search with its tables, and with prefixes split as if they were hot: exact distances, no pair twice, recall over 0.9."""
+    rows = _near(np.random.default_rng(12), 40, 500, 26)
+    apart = np.bitwise_count(rows[:, None] ^ rows[None]).sum(2, dtype=int)
+    want = {(rows[a].tobytes(), rows[b].tobytes()): int(apart[a, b]) for a in range(len(rows)) for b in range(a + 1, len(rows)) if apart[a, b] <= simhash.RADIUS}
+    table = spark.createDataFrame([(bytes(r.tobytes()),) for r in rows], "print binary")
+    got = simhash.near_pairs(table, hot=hot).collect()
+    found = {(bytes(r.a), bytes(r.b)): r.distance for r in got}
+    assert len(found) == len(got) and all(want[k] == d for k, d in found.items())
+    assert len(found) >= 0.9 * len(want)
+
+
+@pytest.mark.parametrize("hot", [simhash.HOT, 30])
+def test_groups_against_all_pairs(spark, hot):
+    """Groups and numbers of links of whole texts against all pairs of their fingerprints."""
+    rng = random.Random(21)
+    words = [f"{rng.choice('bcdfg')}{i}ox" for i in range(3000)]
+    texts = [" ".join(rng.choices(words, k=150)) for _ in range(40)]
+    for _ in range(260):
+        w = texts[rng.randrange(8)].split()
+        for _ in range(rng.randrange(4)):
+            w[rng.randrange(150)] = rng.choice(words)
+        texts.append(" ".join(w))
+    prints = simhash.fingerprints(pa.array(texts))
+    apart = np.bitwise_count(prints[:, None] ^ prints[None]).sum(2, dtype=int)
+    near = apart <= simhash.RADIUS
+    label = np.arange(len(texts))
+    for _ in range(len(texts)):
+        new = np.where(near, label[None], len(texts)).min(1)
+        if (new == label).all():
+            break
+        label = new
+    got = {r.doc_id: r for r in simhash.groups(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), hot=hot).collect()}
+    assert np.mean([got[i].group_id == label[i] for i in range(len(texts))]) >= 0.97
+    links = near.sum(1) - 1
+    assert all(got[i].links <= links[i] for i in range(len(texts)))
+    assert sum(got[i].links for i in range(len(texts))) >= 0.93 * links.sum()
+
+
+def test_fingerprints_dont_depend_on_blocks():
+    rng = random.Random(13)
+    texts = [" ".join(f"w{rng.randrange(400)}x{rng.randrange(9)}" for _ in range(n)) for n in (3, 50, 4000)] + [""]
+    assert (simhash.fingerprints(pa.array(texts)) == simhash.fingerprints(pa.array(texts), 256)).all()
+
+
+def test_tables_stay_few():
+    few = [simhash.tables_for(simhash.RADIUS, simhash.prefix_for(n), simhash.RECALL) for n in (10_000, 250_000, 15_000_000, 500_000_000, 50_000_000_000)]
+    assert few[0] == 31 and few[1] == 31 and few[3] <= 80 and few == sorted(few) and few[4] <= 170
+
+
 def test_components_against_union_find(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 160)] + [(7, None)]
