@@ -42,11 +42,14 @@ def counted(docs: DataFrame, chosen: DataFrame, counts: Callable[[pa.Array], np.
     return [found[k][0] for k in sorted(found)]
 
 
-def dense_blocks(column: pa.Array, buckets: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], width: int):
-    """(rows, counts) for groups of documents: a long document's parts are added up before they are yielded."""
-    kept_row, kept = -1, None
-    for data, starts, owners in _text.blocks(column):
-        part, bucket = buckets(data, starts)
+def dense_blocks(column: pa.Array, buckets: Callable[[np.ndarray, np.ndarray, np.ndarray, dict], tuple[np.ndarray, np.ndarray]], width: int, lap: int = 0):
+    """(rows, counts) for groups of documents: a long document's parts are added up before they are yielded.
+
+    ``buckets`` gets bytes, starts and owners of a block, and a dict that it may use to remember the block before.
+    """
+    kept_row, kept, memory = -1, None, {}
+    for data, starts, owners in _text.blocks(column, lap=lap):
+        part, bucket = buckets(data, starts, owners, memory)
         table = np.bincount(part * width + bucket, minlength=len(owners) * width).reshape(len(owners), width).astype(np.float64)
         if kept is not None and owners[0] == kept_row:
             table[0] += kept

@@ -2,8 +2,10 @@
 
 Every function works on blocks of a megabyte of UTF-8 bytes, so memory
 doesn't depend on the length of a document; a longer document is cut between
-words and its parts carry the same owner. Pieces of byte-level BPE are never
-cut, so there a block is as long as its longest piece.
+words and its parts carry the same owner. What spans a cut isn't lost: a block
+can begin with the last bytes of the part before (``lap``). Only a run without
+white space over half a megabyte is cut inside. Pieces of byte-level BPE are
+never cut, so there a block is as long as its longest piece.
 """
 
 from __future__ import annotations
@@ -76,25 +78,30 @@ def piece_cut(data: np.ndarray, at: int, end: int, limit: int) -> int:
         size *= 2
 
 
-def blocks(column: pa.Array, limit: int = BLOCK, cut: Callable[[np.ndarray, int, int, int], int] = word_cut) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(bytes, n + 1 starts of parts, owner of each part); parts are whole documents, or what ``cut`` makes of long ones."""
+def blocks(column: pa.Array, limit: int | None = None, cut: Callable[[np.ndarray, int, int, int], int] = word_cut, lap: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(bytes, n + 1 starts of parts, owner of each part); parts are whole documents, or what ``cut`` makes of long ones.
+
+    Where the first part goes on with a document, it begins at ``lap``, after
+    the last bytes of the part before.
+    """
+    limit = limit or BLOCK
     data, offsets = raw(column)
     long = np.flatnonzero(np.diff(offsets) > limit)
     owners, starts = np.arange(len(offsets) - 1), offsets[:-1]
-    if len(long):
-        more_owner, more_start = [], []
-        for i in long.tolist():
-            at, end = int(offsets[i]), int(offsets[i + 1])
-            while end - at > limit and (at := cut(data, at, end, limit)) < end:
-                more_owner.append(i)
-                more_start.append(at)
+    more_owner, more_start = [], []
+    for i in long.tolist():
+        at, end = int(offsets[i]), int(offsets[i + 1])
+        while end - at > limit and (at := cut(data, at, end, limit)) < end:
+            more_owner.append(i)
+            more_start.append(at)
+    if more_start:
         order = np.argsort(np.r_[starts, more_start], kind="stable")
         owners, starts = np.r_[owners, more_owner][order], np.r_[starts, more_start][order]
     ends = np.r_[starts[1:], offsets[-1:]]
     first, n = 0, len(starts)
     while first < n:
         last = max(first + 1, int(np.searchsorted(ends, starts[first] + limit, "right")))
-        base = starts[first]
+        base = starts[first] - min(lap, starts[first] - offsets[owners[first]])
         yield data[base : ends[last - 1]], np.r_[starts[first:last], ends[last - 1]] - base, owners[first:last]
         first = last
 

@@ -5,16 +5,18 @@ words of each block of documents; the (block, number, word) rows are shuffled
 by the word's hash, packed by bucket, so that each distinct word of the corpus
 meets the tokenizer once; its ids go back to the blocks that use it and are
 placed by position. Only distinct words per block and packed word numbers are
-shuffled, never texts.
+shuffled, never texts. Buckets follow the size of the input and are streamed:
+a task holds the distinct words of its bucket and one batch.
 
 ``decode`` joins ids to pieces by index: the id-to-piece table has the fixed
 size of the vocabulary.
 
 Defined results: a null text has null ids; an empty text has an empty list; a
 repeated row is encoded each time; a null ``doc_id`` stays null; other columns
-are ignored; an empty table gives an empty result. Texts are encoded whole;
-long ones are read in blocks that end between pieces.
-The input must be re-readable in the same order (a file scan); pass
+are ignored; an empty table gives an empty result; no ties arise. Texts are
+encoded whole; long ones are read in blocks that end between pieces.
+The input is read twice and must come in the same order (a file scan); a
+checksum over places and words stops the run if it doesn't. Pass
 ``stored=False`` for anything else and it is first written to the shared folder.
 """
 
@@ -37,6 +39,8 @@ from . import _shared, _text
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BLOCK_BYTES = 10 << 20
+#: Bytes of input for each bucket of words.
+BUCKET_BYTES = 64 << 20
 TOKENS = "doc_id bigint, token_ids array<int>, n_tokens int"
 
 
@@ -90,10 +94,15 @@ def numbered(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return coded.dictionary.take(pa.array(order)), place[number], sizes
 
 
+def _each(words: pa.Array, vocabulary: str) -> list[list[int]]:
+    """Ids of each word: a piece by itself is one piece to the pattern."""
+    one = encoding(vocabulary).encode_ordinary
+    return [one(word) for word in words.cast(pa.large_binary()).cast(pa.large_string()).to_pylist()]
+
+
 def encode_words(words: pa.Array, vocabulary: str) -> tuple[np.ndarray, np.ndarray]:
     """Flat ids and n + 1 offsets of an array of words."""
-    single = encoding(vocabulary)._encode_single_piece
-    ids = [single(word) for word in words.to_pylist()]
+    ids = _each(words, vocabulary)
     offsets = np.zeros(len(ids) + 1, np.int64)
     np.cumsum([len(x) for x in ids], out=offsets[1:])
     return np.fromiter((x for one in ids for x in one), np.int32, int(offsets[-1])), offsets
@@ -120,14 +129,13 @@ def id_lists(flat: np.ndarray, ends: np.ndarray, null: np.ndarray) -> pa.Array:
 def encode_local(column: pa.Array, vocabulary: str, known: dict[bytes, list[int]], keep: int = 400_000) -> tuple[np.ndarray, np.ndarray]:
     """Ids of a batch by itself; ``known`` saves words between batches, up to ``keep`` of them."""
     words, number, sizes = numbered(column)
-    single, ids = encoding(vocabulary)._encode_single_piece, []
-    for word in words.to_pylist():
-        got = known.get(word)
-        if got is None:
-            got = single(word)
-            if len(known) < keep:
-                known[word] = got
-        ids.append(got)
+    listed = words.to_pylist()
+    ids = [known.get(word) for word in listed]
+    fresh = [i for i, got in enumerate(ids) if got is None]
+    for i, got in zip(fresh, _each(words.take(pa.array(fresh, pa.int64())), vocabulary), strict=True):
+        ids[i] = got
+        if len(known) < keep:
+            known[listed[i]] = got
     offsets = np.zeros(len(ids) + 1, np.int64)
     np.cumsum([len(x) for x in ids], out=offsets[1:])
     return expand(number, sizes, np.fromiter((x for one in ids for x in one), np.int32, int(offsets[-1])), offsets)
@@ -143,14 +151,24 @@ def _unpack(packed: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(np.int32).reshape(-1)
 
 
-def _spread(words: pa.Array, buckets: int) -> Iterator[tuple[int, np.ndarray, pa.Array]]:
-    """(bucket, places, words) of an array of distinct words, by their hash."""
+def _hashes(words: pa.Array) -> np.ndarray:
     if not len(words):
-        return
+        return np.zeros(0, np.uint64)
     ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
     data = np.frombuffer(words.buffers()[2], np.uint8)[ends[0] : ends[-1]]
-    ends = ends - ends[0]
-    bucket = (_text.span_hashes(data, ends[:-1], ends[1:]) % np.uint64(buckets)).astype(np.int64)
+    return _text.span_hashes(data, ends[:-1] - ends[0], ends[1:] - ends[0])
+
+
+def _checksum(hashes: np.ndarray, at: np.ndarray) -> int:
+    """Tells which words stand at which places; sums of parts add up to that of the whole."""
+    return int((hashes * (2 * at.astype(np.uint64) + np.uint64(1))).sum(dtype=np.uint64).astype(np.int64))
+
+
+def _spread(words: pa.Array, hashes: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray, pa.Array]]:
+    """(bucket, places, words) of an array of distinct words, by their hash."""
+    if not len(words):
+        return
+    bucket = (hashes % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     edge = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0, True])
     for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
@@ -167,9 +185,9 @@ def _packed_words(words: pa.Array) -> tuple[bytes, bytes, int]:
     return _pack(np.diff(ends)), _zip(data), len(data)
 
 
-_WORDS = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("n", pa.int32()), ("at", pa.binary()), ("sizes", pa.binary()), ("words", pa.binary()), ("n_bytes", pa.int64())])
-_NUMBERS = pa.schema([("block", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("mark", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("n_words", pa.int64()), ("n_distinct", pa.int64()), ("numbers", pa.binary())])
-_IDS = pa.schema([("block", pa.int64()), ("n", pa.int32()), ("at", pa.binary()), ("lengths", pa.binary()), ("ids", pa.binary()), ("n_ids", pa.int64())])
+_WORDS = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("n", pa.int32()), ("at", pa.binary()), ("sizes", pa.binary()), ("words", pa.binary()), ("n_bytes", pa.int64()), ("check", pa.int64())])
+_NUMBERS = pa.schema([("block", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("mark", pa.list_(pa.int64())), ("place", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("n_words", pa.int64()), ("n_distinct", pa.int64()), ("check", pa.int64()), ("numbers", pa.binary())])
+_IDS = pa.schema([("block", pa.int64()), ("n", pa.int32()), ("at", pa.binary()), ("lengths", pa.binary()), ("ids", pa.binary()), ("n_ids", pa.int64()), ("check", pa.int64())])
 
 
 def _numbered_blocks(batches: Iterable[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
@@ -181,30 +199,40 @@ def _numbered_blocks(batches: Iterable[pa.RecordBatch], buckets: int) -> Iterato
             column, block = whole.slice(first, last - first), part << 24 | k
             k += 1
             words, number, sizes = numbered(column)
+            hashes = _hashes(words)
             rows = batch.slice(first, last - first)
             if buckets:
                 out = []
-                for bucket, at, some in _spread(words, buckets):
+                for bucket, at, some in _spread(words, hashes, buckets):
                     lengths, data, n_bytes = _packed_words(some)
-                    out.append({"bucket": bucket, "block": block, "n": len(at), "at": _pack(at), "sizes": lengths, "words": data, "n_bytes": n_bytes})
+                    out.append({"bucket": bucket, "block": block, "n": len(at), "at": _pack(at), "sizes": lengths, "words": data, "n_bytes": n_bytes, "check": _checksum(hashes[at], at)})
                 yield pa.RecordBatch.from_pylist(out, _WORDS)
             else:
                 sizes[rows.column("text").is_null().to_numpy(zero_copy_only=False)] = -1
-                one = {"block": block, "doc_id": rows.column("doc_id").to_pylist(), "mark": rows.column("mark").to_pylist(), "sizes": sizes.tolist(), "n_words": len(number), "n_distinct": len(words), "numbers": _pack(number)}
+                one = {"block": block, "doc_id": rows.column("doc_id").to_pylist(), "mark": rows.column("mark").to_pylist(), "place": rows.column("place").to_pylist(), "sizes": sizes.tolist(), "n_words": len(number), "n_distinct": len(words), "check": _checksum(hashes, np.arange(len(words))), "numbers": _pack(number)}
                 yield pa.RecordBatch.from_pylist([one], _NUMBERS)
             del words, number
             _shared.release()
 
 
-def encode(docs: DataFrame, vocabulary: str = VOCABULARY, stored: bool = True) -> DataFrame:
-    """(doc_id, token_ids, n_tokens, mark) of each document; mark is xxhash64 of the text."""
-    _shared.require(docs, "doc_id", "text")
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+_ORDER = "the input was read in another order the second time; encode it with stored=False"
+
+
+def buckets_for(docs: DataFrame, least: int) -> int:
+    """One bucket for every ``BUCKET_BYTES`` of input, ``least`` or more."""
+    size = str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(least, min(1 << 16, int(size) // BUCKET_BYTES))
+
+
+def encode(docs: DataFrame, vocabulary: str = VOCABULARY, stored: bool = True, place: str | None = None) -> DataFrame:
+    """(doc_id, token_ids, n_tokens, mark, place) of each document; mark is xxhash64 of the text, place a bigint column that is passed on."""
+    _shared.require(docs, "doc_id", "text", *([place] if place else []))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), (F.col(place) if place else F.lit(None)).cast("bigint").alias("place"))
     if not stored:
         rows = _shared.stored(rows, "texts")
     rows = rows.withColumn("mark", F.xxhash64("text"))
 
-    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets_for(rows, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def words_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _numbered_blocks(batches, buckets)
@@ -212,28 +240,39 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, stored: bool = True) -
     def numbers_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _numbered_blocks(batches, 0)
 
-    def ids_of(table: pa.Table) -> pa.Table:
+    def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Ids of the words of one bucket, each distinct word encoded once."""
-        rows = table.to_pylist()
-        lengths = [_unpack(r["sizes"], r["n"]) for r in rows]
-        data = b"".join(pa.decompress(r["words"], r["n_bytes"], codec="zstd", asbytes=True) for r in rows)
-        ends = np.r_[0, np.cumsum(np.concatenate(lengths))]
-        coded = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(data)]).dictionary_encode()
-        ids, offsets = encode_words(coded.dictionary, vocabulary)
-        number = coded.indices.to_numpy()
-        out, a = [], 0
-        for r in rows:
-            flat, placed = expand(number[a : a + r["n"]], np.ones(r["n"], np.int64), ids, offsets)
-            a += r["n"]
-            out.append({"block": r["block"], "n": r["n"], "at": r["at"], "lengths": _pack(np.diff(placed)), "ids": _pack(flat), "n_ids": len(flat)})
+        known: dict[bytes, int] = {}
+        ids, offsets = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 500):
+                rows = batch.slice(a, 500).to_pylist()
+                lengths = [_unpack(r["sizes"], r["n"]) for r in rows]
+                data = b"".join(pa.decompress(r["words"], r["n_bytes"], codec="zstd", asbytes=True) for r in rows)
+                ends = np.r_[0, np.cumsum(np.concatenate(lengths))]
+                coded = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(data)]).dictionary_encode()
+                words = coded.dictionary.to_pylist()
+                fresh = [i for i, word in enumerate(words) if word not in known]
+                known.update({words[i]: k for k, i in enumerate(fresh, len(known))})
+                more, placed = encode_words(coded.dictionary.take(pa.array(fresh, pa.int64())), vocabulary)
+                ids, offsets = np.r_[ids, more], np.r_[offsets, placed[1:] + offsets[-1]]
+                number = np.array([known[w] for w in words], np.int64)[coded.indices.to_numpy()]
+                out, at = [], 0
+                for r in rows:
+                    flat, placed = expand(number[at : at + r["n"]], np.ones(r["n"], np.int64), ids, offsets)
+                    at += r["n"]
+                    out.append({"block": r["block"], "n": r["n"], "at": r["at"], "lengths": _pack(np.diff(placed)), "ids": _pack(flat), "n_ids": len(flat), "check": r["check"]})
+                yield pa.RecordBatch.from_pylist(out, _IDS)
+        del known
         _shared.release()
-        return pa.Table.from_pylist(out, _IDS)
 
-    def place(left: pa.Table, right: pa.Table) -> pa.Table:
-        (one,) = left.to_pylist()
+    def placed(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = right.to_pylist()
-        if sum(r["n"] for r in rows) != one["n_distinct"]:
-            raise RuntimeError("the input was read in another order the second time; encode it with stored=False")
+        if left.num_rows != 1:
+            raise RuntimeError(_ORDER)
+        (one,) = left.to_pylist()
+        if sum(r["n"] for r in rows) != one["n_distinct"] or (sum(r["check"] for r in rows) - one["check"]) % (1 << 64):
+            raise RuntimeError(_ORDER)
         length = np.zeros(one["n_distinct"], np.int64)
         ats = [_unpack(r["at"], r["n"]) for r in rows]
         lengths = [_unpack(r["lengths"], r["n"]) for r in rows]
@@ -248,12 +287,12 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, stored: bool = True) -
         flat, ends = expand(_unpack(one["numbers"], one["n_words"]), np.maximum(sizes, 0), ids, offsets)
         null = sizes < 0
         _shared.release()
-        return pa.table({"doc_id": pa.array(one["doc_id"], pa.int64()), "token_ids": id_lists(flat, ends, null), "n_tokens": pa.array(np.diff(ends).astype(np.int32), mask=null), "mark": pa.array(one["mark"], pa.int64())})
+        return pa.table({"doc_id": pa.array(one["doc_id"], pa.int64()), "token_ids": id_lists(flat, ends, null), "n_tokens": pa.array(np.diff(ends).astype(np.int32), mask=null), "mark": pa.array(one["mark"], pa.int64()), "place": pa.array(one["place"], pa.int64())})
 
-    words = rows.mapInArrow(words_of, "bucket int, block bigint, n int, at binary, sizes binary, words binary, n_bytes bigint")
-    numbers = rows.mapInArrow(numbers_of, "block bigint, doc_id array<bigint>, mark array<bigint>, sizes array<int>, n_words bigint, n_distinct bigint, numbers binary")
-    ids = words.groupBy("bucket").applyInArrow(ids_of, "block bigint, n int, at binary, lengths binary, ids binary, n_ids bigint")
-    return numbers.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(place, TOKENS + ", mark bigint")
+    words = rows.mapInArrow(words_of, "bucket int, block bigint, n int, at binary, sizes binary, words binary, n_bytes bigint, check bigint")
+    numbers = rows.mapInArrow(numbers_of, "block bigint, doc_id array<bigint>, mark array<bigint>, place array<bigint>, sizes array<int>, n_words bigint, n_distinct bigint, check bigint, numbers binary")
+    ids = words.groupBy("bucket").applyInArrow(ids_of, "block bigint, n int, at binary, lengths binary, ids binary, n_ids bigint, check bigint")
+    return numbers.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(placed, TOKENS + ", mark bigint, place bigint")
 
 
 def decode(tokens: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:

@@ -16,7 +16,9 @@ Defined results: null and empty texts, and texts without letters, have no
 n-grams: language null, confidence 0, rejected. With no labelled document
 everything is rejected; with one language only coverage rejects. Ties take the
 first language in alphabetical order. Repeated rows are scored each time; a
-null doc_id is kept; other columns pass through ``keep`` untouched.
+null doc_id is kept; other columns pass through ``keep`` untouched; an empty
+table gives no rows. Very long texts are read in parts, and no n-gram is lost
+between them.
 """
 
 from __future__ import annotations
@@ -68,19 +70,23 @@ def _buckets(data: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return at, (code[at] * np.uint32(2654435769) + np.uint32(n)) * np.uint32(0x85EBCA6B) >> np.uint32(32 - BITS)
 
 
-def _all(data: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(bounds of the parts in the buckets, buckets); n-grams that run into the next part are left out."""
+def _all(data: np.ndarray, starts: np.ndarray, owners: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(bounds of the parts in the buckets, buckets); n-grams that run into the next document are left out."""
+    goes_on = owners[1:] == owners[:-1]
     for n in GRAMS:
         at, bucket = _buckets(data, n)
-        first = np.searchsorted(at, starts[:-1])
-        last = np.maximum(np.searchsorted(at, starts[1:] - n + 1), first)
+        begin, end = starts[:-1].copy(), starts[1:] - n + 1
+        begin[0] = max(0, begin[0] - n + 1)  # across the cut, if the first part goes on with a document
+        end[:-1][goes_on] += n - 1
+        first = np.searchsorted(at, begin)
+        last = np.maximum(np.searchsorted(at, end), first)
         yield np.stack([first, last], 1), bucket
 
 
 def counts(text: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     total = [[] for _ in range(len(text))]
-    for data, starts, owners in _text.blocks(_text.plain(text, lower=True)):
-        for bounds, bucket in _all(data, starts):
+    for data, starts, owners in _text.blocks(_text.plain(text, lower=True), lap=max(GRAMS) - 1):
+        for bounds, bucket in _all(data, starts, owners):
             for (a, b), owner in zip(bounds.tolist(), owners.tolist(), strict=True):
                 total[owner].append(bucket[a:b])
     return [np.unique(np.concatenate(x), return_counts=True) if x else (np.zeros(0, np.uint32), np.zeros(0, np.int64)) for x in total]
@@ -160,8 +166,8 @@ def score(text: pa.Array, model: Model) -> pa.StructArray:
     n, width = len(text), len(model.languages)
     table = np.concatenate([model.table, model.seen[:, None], np.ones((len(model.seen), 1))], 1)
     total = np.zeros((n, width + 2))
-    for data, starts, owners in _text.blocks(_text.plain(text, lower=True)):
-        for bounds, bucket in _all(data, starts):
+    for data, starts, owners in _text.blocks(_text.plain(text, lower=True), lap=max(GRAMS) - 1):
+        for bounds, bucket in _all(data, starts, owners):
             some = np.flatnonzero(bounds[:, 1] > bounds[:, 0])
             if len(some):
                 flat = bounds[some].ravel()

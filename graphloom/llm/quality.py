@@ -16,7 +16,8 @@ labelled documents, or no neighbour of positive similarity, the score is 1
 (nothing speaks against the document). A document isn't its own neighbour.
 Similarities are rounded to 6 places; ties go to the smaller doc_id. Labels
 that repeat count once, the larger one. Null doc_ids, repeated rows and other
-columns pass through.
+columns pass through; an empty table gives no rows. Very long texts are read
+in parts whose terms are added up, those across a cut too.
 """
 
 from __future__ import annotations
@@ -62,29 +63,40 @@ class Model:
     k: int
 
 
-def _terms(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Part and term of every occurrence."""
-    part = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+def _terms(data: np.ndarray, starts: np.ndarray, owners: np.ndarray, memory: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Part and term of every occurrence; ``memory`` holds the last two words of the block before."""
+    lead = int(starts[0])
+    part = np.r_[np.zeros(lead, np.int64), np.repeat(np.arange(len(starts) - 1), np.diff(starts))]
+    own = owners[part]
     parts, terms = [], []
+
+    def grams(code: np.ndarray, n: int) -> None:
+        begin = max(0, lead - n + 1)
+        same = own[begin : len(data) - n + 1] == own[begin + n - 1 :]
+        parts.append(part[begin : len(data) - n + 1][same])
+        terms.append(code[begin:][same] * np.uint32(2654435769) >> np.uint32(32 - 10))
+
     if len(data) >= 3:
         fold = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint32)
-        code = fold[:-2] << np.uint32(16) | fold[1:-1] << np.uint32(8) | fold[2:]
-        same = part[:-2] == part[2:]
-        parts.append(part[:-2][same])
-        terms.append((code[same] * np.uint32(2654435769) >> np.uint32(32 - 10)).astype(np.int64))
+        grams(fold[:-2] << np.uint32(16) | fold[1:-1] << np.uint32(8) | fold[2:], 3)
+        terms[-1] = terms[-1].astype(np.int64)
     if len(data) >= 4:
         shape = _SHAPE[data]
-        code = ((shape[:-3] * 10 + shape[1:-2]) * 10 + shape[2:-1]) * 10 + shape[3:]
-        same = part[:-3] == part[3:]
-        parts.append(part[:-3][same])
-        terms.append(TRIGRAMS + (code[same].astype(np.uint32) * np.uint32(2654435769) >> np.uint32(32 - 10)).astype(np.int64))
-    begin, end, owner = _text.word_spans(data, starts)
-    if len(begin) > 1:
-        word = _text.span_hashes(data, begin, end)
-        for gap, mark in ((1, 0), (2, 1)):
-            again = (word[gap:] == word[:-gap]) & (owner[gap:] == owner[:-gap])
-            parts.append(np.repeat(owner[gap:][again], 20))
+        grams((((shape[:-3] * 10 + shape[1:-2]) * 10 + shape[2:-1]) * 10 + shape[3:]).astype(np.uint32), 4)
+        terms[-1] = TRIGRAMS + terms[-1].astype(np.int64)
+    begin, end, of = _text.word_spans(data[lead:], starts - lead)
+    word = _text.span_hashes(data[lead:], begin, end)
+    before = [h for o, h in memory.get("last", ()) if o == owners[0]]
+    word = np.r_[np.array(before, np.uint64), word]
+    of = np.r_[np.zeros(len(before), np.int64), of]
+    for gap, mark in ((1, 0), (2, 1)):
+        if len(word) > gap:
+            again = (word[gap:] == word[:-gap]) & (owners[of[gap:]] == owners[of[:-gap]])
+            again[: max(0, len(before) - gap)] = False
+            parts.append(np.repeat(of[gap:][again], 20))
             terms.append(np.full(20 * int(again.sum()), TRIGRAMS + FOLDED + mark))
+    if len(word):
+        memory["last"] = list(zip(owners[of[-2:]].tolist(), word[-2:], strict=True))
     if not parts:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(parts), np.concatenate(terms)
@@ -92,7 +104,7 @@ def _terms(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def counts(text: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(text)
-    for rows, table in _sample.dense_blocks(_text.plain(text), _terms, WIDTH):
+    for rows, table in _sample.dense_blocks(_text.plain(text), _terms, WIDTH, 3):
         for row, line in zip(rows.tolist(), table, strict=True):
             at = np.flatnonzero(line)
             out[row] = at, line[at]
@@ -146,7 +158,7 @@ def score(ids: pa.Array, text: pa.Array, model: Model) -> pa.StructArray:
     """quality_score and kept of each text."""
     number = ids.fill_null(-1).to_numpy(zero_copy_only=False)
     out = np.zeros(len(text))
-    for rows, table in _sample.dense_blocks(_text.plain(text), _terms, WIDTH):
+    for rows, table in _sample.dense_blocks(_text.plain(text), _terms, WIDTH, 3):
         for a in range(0, len(rows), DOCS):
             some = table[a : a + DOCS]
             vectors = _weighted(some, model.weight) @ model.space

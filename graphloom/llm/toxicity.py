@@ -21,7 +21,8 @@ Defined results: null and empty texts have no features, so the severity of
 the base rate. With no labelled document, or labels of one kind only, the base
 rate is 0 or 1 accordingly (0 without labels). Labels that repeat count once,
 the larger one. Null doc_ids and repeated rows are scored; other columns are
-ignored.
+ignored; an empty table gives no rows; ties don't arise. Very long texts are
+read in parts, and a word counts once in all of them.
 """
 
 from __future__ import annotations

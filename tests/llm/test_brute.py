@@ -332,3 +332,117 @@ def test_urls_against_union_find(spark):
             assert all(r.blocked or r.reason == "allowed" for r in rows)
     bad = [r for r in out if any(w in (r.url or "") for w in ("casino", "spam", "ads-", "-bets"))]
     assert bad and all(r.blocked for r in bad)
+
+
+def _long_texts() -> list[str]:
+    rng = random.Random(15)
+    words = ["river", "over", "12,5", "the the", "a b a", "Éa", "日本", "x|y", "(Q)", "end.\n"]
+    return ["", " ".join(rng.choice(words) for _ in range(30)), " ".join(rng.choice(words) for _ in range(4000)), "one two", "ab " * 500, " ".join(rng.choice(words) for _ in range(900))]
+
+
+@pytest.mark.parametrize("module", [quality, langid, toxicity])
+def test_counts_dont_depend_on_blocks(monkeypatch, module):
+    text = pa.array(_long_texts())
+    want = module.counts(text)
+    monkeypatch.setattr(_text, "BLOCK", 128)
+    for (a, n), (b, m) in zip(want, module.counts(text), strict=True):
+        assert a.tolist() == b.tolist() and n.tolist() == m.tolist()
+
+
+def test_language_scores_against_plain_python(spark, docs, monkeypatch):
+    """Every score of the vectorised pass, with texts cut into parts, against a loop over n-grams."""
+    model = langid.fit(docs)
+    texts = [r.text for r in docs.where("doc_id < 40").collect()] + _long_texts() + [None, "12 !"]
+    for block in (_text.BLOCK, 512):
+        monkeypatch.setattr(_text, "BLOCK", block)
+        got = langid.score(pa.array(texts), model).to_pylist()
+        for text, g in zip(texts, got, strict=True):
+            data = (text or "").lower().encode()
+            byte = [int(x) for x in langid._FOLD[np.frombuffer(data, np.uint8)]] if data else []
+            hit = []
+            for n in langid.GRAMS:
+                for i in range(len(byte) - n + 1):
+                    gram = byte[i : i + n]
+                    if all(x != 32 for x in gram[1:-1]):
+                        code = int.from_bytes(bytes(gram), "big") & 0xFFFFFFFF
+                        hit.append((code * 2654435769 + n) * 0x85EBCA6B % 2**32 >> (32 - langid.BITS))
+            if not hit:
+                assert g["lang"] is None and g["confidence"] == 0 and not g["accepted"]
+                continue
+            logits = (np.mean([model.table[h] for h in hit], axis=0) + model.bias) / model.temperature
+            p = np.exp(logits - logits.max())
+            p /= p.sum()
+            cover = np.mean([model.seen[h] for h in hit])
+            assert g["lang"] == model.languages[int(np.argmax(p))]
+            assert g["confidence"] == pytest.approx(p.max(), abs=2e-6) and g["coverage"] == pytest.approx(cover, abs=2e-6)
+
+
+def test_quality_scores_against_plain_python(spark, docs, labels, monkeypatch):
+    """Terms by a loop over characters, exact cosines and votes one document at a time."""
+    model = quality.fit(docs, labels)
+    rows = [(r.doc_id, r.text) for r in docs.where("doc_id < 25").collect()] + [(-5 - i, t) for i, t in enumerate(_long_texts())]
+    monkeypatch.setattr(_text, "BLOCK", 400)
+    got = quality.score(pa.array([i for i, _ in rows]), pa.array([t for _, t in rows]), model).to_pylist()
+    for (key, text), g in zip(rows, got, strict=True):
+        data = np.frombuffer(text.encode(), np.uint8).astype(int)
+        line = np.zeros(quality.WIDTH)
+        fold = [x + 32 if 65 <= x <= 90 else x for x in data.tolist()]
+        shape = [int(quality._SHAPE[x]) for x in data.tolist()]
+        for i in range(len(data) - 2):
+            line[((fold[i] << 16 | fold[i + 1] << 8 | fold[i + 2]) * 2654435769) % 2**32 >> 22] += 1
+        for i in range(len(data) - 3):
+            line[quality.TRIGRAMS + (((shape[i] * 10 + shape[i + 1]) * 10 + shape[i + 2]) * 10 + shape[i + 3]) * 2654435769 % 2**32 // 2**22] += 1
+        words, now = [], b""
+        for x in text.encode() + b" ":
+            if _text.WORD_BYTE[x]:
+                now += bytes([x])
+            elif now:
+                words.append(now)
+                now = b""
+        for gap, mark in ((1, 0), (2, 1)):
+            line[quality.TRIGRAMS + quality.FOLDED + mark] += 20 * sum(a == b for a, b in zip(words, words[gap:], strict=False))
+        if not line.any():
+            assert g == {"quality_score": 0.0, "kept": False}
+            continue
+        vector = quality._weighted(line[None], model.weight)[0] @ model.space
+        vector /= np.linalg.norm(vector)
+        near = sorted((-round(float(vector @ v), 6), int(i), float(y)) for v, i, y in zip(model.vectors, model.ids, model.labels, strict=True) if i != key)[: model.k]
+        total = sum(-s for s, _, _ in near if s < 0)
+        assert g["quality_score"] == pytest.approx(sum(-s * y for s, _, y in near if s < 0) / total, abs=3e-2 if len(text) < 20 else 1e-4)
+
+
+def test_toxicity_scores_against_plain_python(spark, docs, labels, monkeypatch):
+    model = toxicity.fit(docs, labels)
+    weight = dict(zip(model.words.tolist(), model.weight.tolist(), strict=True))
+    texts = [r.text for r in docs.where("doc_id < 60").collect()] + _long_texts() + [None]
+    monkeypatch.setattr(_text, "BLOCK", 300)
+    for text, g in zip(texts, toxicity.score(pa.array(texts), model).to_pylist(), strict=True):
+        words, now = set(), b""
+        for x in (text or "").lower().encode() + b" ":
+            if _text.WORD_BYTE[x]:
+                now += bytes([x])
+            elif now:
+                words.add(now)
+                now = b""
+        flat = [np.frombuffer(w, np.uint8) for w in sorted(words)]
+        seen = {int(_text.span_hashes(w, np.array([0]), np.array([len(w)]))[0]) >> (64 - toxicity.BITS) for w in flat}
+        eta = sum(weight.get(b, 0.0) for b in seen)
+        above = [1 / (1 + np.exp(-max(-40.0, min(40.0, eta - c)))) for c in model.cuts]
+        assert g["expected_severity"] == pytest.approx(sum(above), abs=3e-6)
+        assert g["grade"] == sum(round(a, 6) >= toxicity.CAUTION for a in above) and g["toxic"] == (g["grade"] > 0)
+
+
+def test_ordinal_fit_finds_the_telling_words():
+    """Words of toxic documents alone outweigh all others, and cuts stay in order."""
+    rng = np.random.default_rng(3)
+    words = np.arange(30)
+    features, toxic = [], []
+    for i in range(400):
+        bad = i % 5 == 0
+        f = rng.choice(20, 6, replace=False)
+        features.append(np.unique(np.r_[f, rng.choice(np.arange(20, 30), 3, replace=False)] if bad else f).astype(np.int64))
+        toxic.append(float(bad))
+    model = toxicity.fit_grades(features, np.array(toxic), least=1)
+    got = dict(zip(model.words.tolist(), model.weight.tolist(), strict=True))
+    assert min(got.get(w, 0) for w in words[20:]) > 2 * max(abs(got.get(w, 0)) for w in words[:20])
+    assert all(np.diff(model.cuts) >= 0)

@@ -123,6 +123,15 @@ def test_bpe(docs, none):
     assert bpe.encode(docs.where("doc_id < 5").repartition(3), stored=False).count() == 8
 
 
+def test_bpe_notices_another_order(spark):
+    """As many distinct words, but others: the checksum tells."""
+    import pyarrow as pa
+
+    a, b = (bpe.numbered(pa.array([x], pa.large_string()))[0] for x in ("one two", "two six"))
+    sums = [bpe._checksum(bpe._hashes(w), range_) for w in (a, b) for range_ in [__import__("numpy").arange(len(w))]]
+    assert sums[0] != sums[1]
+
+
 def test_packed_ids(docs, none):
     packed = pfor.write_ids(docs)
     back = pfor.read_ids(packed)
