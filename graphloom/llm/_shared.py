@@ -9,7 +9,8 @@ import uuid
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 @lru_cache(maxsize=1)
@@ -44,12 +45,31 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> str:
+    """Write as Parquet in the shared folder; the path."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write as Parquet in the shared folder and scan it back, so that every branch reads the same rows."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(written(df, name))
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Delete a folder that ``written`` made."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def placed(df: DataFrame, name: str) -> DataFrame:
+    """The rows with a column that orders them as a Parquet folder holds them: number of the file, then row; null for anything but a scan."""
+    try:
+        part = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).try_cast("bigint")
+        return df.select("*", (F.shiftleft(part, 40) + F.col("_metadata.row_index")).alias(name))
+    except AnalysisException:
+        return df.withColumn(name, F.lit(None).cast("bigint"))
 
 
 def require(df: DataFrame, *names: str) -> None:

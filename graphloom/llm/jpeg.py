@@ -14,7 +14,10 @@ bytes, application segments and comments.
 Defined results: null media gives status null; empty or broken data and
 truncated scans "corrupt", progressive, arithmetic or 12-bit coding
 "unsupported"; both keep the dimensions that were read and have no thumbnail.
-Null keys and repeated rows pass; other columns are ignored.
+A picture whose data is too short for its dimensions is corrupt before anything
+is allocated for it. Null keys and repeated rows pass; other columns are
+ignored; an empty table gives no rows; ties don't arise; very large pictures
+are decoded whole.
 """
 
 from __future__ import annotations
@@ -35,6 +38,8 @@ SCHEMA = "{key} bigint, status string, width int, height int, components int, th
 #: Bytes of pictures decoded, and of pages rendered, at a time.
 DECODED = 8 << 20
 RENDERED = 1 << 20
+#: Distinct Huffman tables held at a time; each takes half a megabyte.
+TABLES = 48
 ZIGZAG = np.array(sorted(range(64), key=lambda i: (i // 8 + i % 8, i // 8 if (i // 8 + i % 8) % 2 else i % 8)))
 DC_CODES = (bytes([0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0]), bytes(range(12)))
 AC_CODES = (
@@ -151,6 +156,9 @@ def parse(data: bytes) -> Image:
                 want = -(-image.units // interval) if interval else 1
                 if len(image.segments) != want:
                     raise Broken
+                for k, segment in enumerate(image.segments):  # a block takes two bits at least
+                    if 4 * len(segment) < len(image.owner) * min(interval or image.units, image.units - k * interval):
+                        raise Broken
                 image.status = "ok"
                 return image
     except (Broken, IndexError, KeyError, ValueError):
@@ -201,7 +209,19 @@ def _peek(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def decode(images: list[Image]) -> list[np.ndarray | None]:
-    """Luminance DC thumbnails; images that turn out broken become corrupt."""
+    """Luminance DC thumbnails; images that turn out broken become corrupt. As many at a time as ``TABLES`` allows."""
+    out, some, known = [], [], set()
+    for image in images:
+        own = {t for pair in image.tables for t in pair}
+        if some and len(known | own) > TABLES:
+            out += _decode(some)
+            some, known = [], set()
+        some.append(image)
+        known |= own
+    return out + _decode(some)
+
+
+def _decode(images: list[Image]) -> list[np.ndarray | None]:
     used = [i for i, x in enumerate(images) if x.status == "ok"]
     if not used:
         return [None] * len(images)
@@ -396,8 +416,9 @@ def encode(planes: list[np.ndarray], width: int, height: int, factors: list[tupl
     return encode_all([(planes, width, height)], factors, dc_step, ac_step, interval)[0]
 
 
-def encode_all(images: list[tuple[list[np.ndarray], int, int]], factors: list[tuple[int, int]], dc_step: int = 8, ac_step: int = 100, interval: int = 0) -> list[bytes]:
+def encode_all(images: list[tuple[list[np.ndarray], int, int]], factors: list[tuple[int, int]], dc_step: int = 8, ac_step: int = 100, interval: int = 0, codes: list[tuple[bytes, bytes]] | None = None) -> list[bytes]:
     """Encode (planes, width, height) with the same factors: their blocks go through each step together."""
+    dc_codes, ac_codes = codes or (DC_CODES, AC_CODES)
     if len(factors) == 1:
         factors = [(1, 1)]
     most_h, most_v = max(f[0] for f in factors), max(f[1] for f in factors)
@@ -420,7 +441,7 @@ def encode_all(images: list[tuple[list[np.ndarray], int, int]], factors: list[tu
         at = np.flatnonzero(owner == c)
         same = segment[at[1:]] == segment[at[:-1]]
         diff[at[1:][same]] -= coefficients[at[:-1][same], 0]
-    dc, ac = _canonical(DC_CODES), _canonical(AC_CODES)
+    dc, ac = _canonical(dc_codes), _canonical(ac_codes)
     size = np.frexp(np.abs(diff).astype(np.float64))[1]
     code = [dc[0][size] << size | np.where(diff < 0, diff + (1 << size) - 1, diff)]
     length, key = [dc[1][size] + size], [np.arange(len(diff)) * 256]
@@ -458,7 +479,7 @@ def encode_all(images: list[tuple[list[np.ndarray], int, int]], factors: list[tu
     stream = [packed[i:j].replace(b"\xff", b"\xff\x00") for i, j in zip([0, *edge], edge, strict=False)]
     head = lambda marker, body: bytes([0xFF, marker]) + (len(body) + 2).to_bytes(2, "big") + body
     shape = bytes([len(per)]) + b"".join(bytes([i + 1, h << 4 | v, 0]) for i, (h, v) in enumerate(factors))
-    tables = head(0xC4, b"\x00" + DC_CODES[0] + DC_CODES[1]) + head(0xC4, b"\x10" + AC_CODES[0] + AC_CODES[1])
+    tables = head(0xC4, b"\x00" + dc_codes[0] + dc_codes[1]) + head(0xC4, b"\x10" + ac_codes[0] + ac_codes[1])
     tables += head(0xDD, interval.to_bytes(2, "big")) if interval else b""
     tables += head(0xDA, bytes([len(per)]) + b"".join(bytes([i + 1, 0]) for i in range(len(per))) + b"\x00\x3f\x00")
     start, out = b"\xff\xd8" + head(0xDB, b"\0" + bytes(step.tolist())), []

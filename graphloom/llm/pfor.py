@@ -11,7 +11,8 @@ bits, positions (1 each), differences (4 each).
 
 Defined results: a null text has null columns; an empty one no blocks; a null
 ``doc_id`` stays null; repeated rows are written each time; other columns are
-ignored.
+ignored; an empty table gives no rows; very long texts are encoded whole; ties
+don't arise.
 """
 
 from __future__ import annotations

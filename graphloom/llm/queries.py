@@ -57,18 +57,28 @@ def _key(u: str) -> str:
     return f"CASE WHEN {bare} = '' THEN NULL WHEN {scheme} <> '' AND {host} <> '' THEN {whole} ELSE {bare} END"
 
 
+def _named(tag: str, href: str) -> str:
+    return f"replace(trim(regexp_extract(regexp_extract(html, '{tag}'), '{href}', 1)), '&amp;', '&')"
+
+
 def _linked(tag: str, href: str) -> str:
-    found = f"replace(trim(regexp_extract(regexp_extract(html, '{tag}'), '{href}', 1)), '&amp;', '&')"
-    root = "regexp_extract(a, '^([a-z][a-z0-9+.-]*://[^/?]*)', 1)"
-    whole = f"CASE WHEN regexp_matches({found}, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN {found} WHEN starts_with({found}, '//') THEN regexp_extract(a, '^([a-z][a-z0-9+.-]*:)', 1) || {found} WHEN starts_with({found}, '/') THEN {root} || {found} ELSE {root} || '/' || {found} END"
-    return f"SELECT a, CASE WHEN {found} <> '' THEN {whole} END AS raw FROM k"
+    root = "regexp_extract(p, '^([a-z][a-z0-9+.-]*://[^/?]*)', 1)"
+    steps = "list_filter(string_split(regexp_extract(p, '^[a-z][a-z0-9+.-]*://[^/?]*/((?:[^?/]*/)*)', 1), '/'), lambda s: s <> '')"
+    near = "regexp_replace(found, '^(\\./)+', '')"
+    up = f"(length(regexp_extract({near}, '^((?:\\.\\./)*)', 1)) // 3)"
+    folder = f"list_slice({steps}, 1, greatest(0, len({steps}) - {up}))"
+    inside = f"{root} || '/' || CASE WHEN len({folder}) > 0 THEN array_to_string({folder}, '/') || '/' ELSE '' END || regexp_replace({near}, '^(\\.\\./)+', '')"
+    whole = f"CASE WHEN regexp_matches(found, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN found WHEN starts_with(found, '//') THEN regexp_extract(p, '^([a-z][a-z0-9+.-]*:)', 1) || found WHEN starts_with(found, '/') THEN {root} || found WHEN starts_with(found, '?') THEN regexp_replace(p, '\\?.*$', '') || found ELSE {inside} END"
+    return f"SELECT a, CASE WHEN found <> '' THEN {whole} END AS raw FROM (SELECT a, p, {_named(tag, href)} AS found FROM k)"
 
 
 _QUOTED = "[^\\x22\\x27\\s>]+"
+_HREF = f"(?i)\\bhref\\s*=\\s*[\\x22\\x27]?({_QUOTED})"
+_BASE = _named("(?i)<base\\b[^>]*>", _HREF)
 _FORM = "regexp_replace(regexp_replace(a, '^http://', 'https://'), '^https://(www|m)\\.([^/]*\\.)', 'https://\\2')"
 OP6_SQL = f"""
-WITH RECURSIVE k AS (SELECT page_id, url, {_key('url')} AS a, html FROM pages),
-raw AS ({_linked('(?i)<link\\b[^>]*\\brel\\s*=\\s*[\\x22\\x27]?canonical\\b[^>]*>', f'(?i)\\bhref\\s*=\\s*[\\x22\\x27]?({_QUOTED})')}
+WITH RECURSIVE k AS (SELECT *, CASE WHEN regexp_matches(based, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN {_key('based')} ELSE a END AS p FROM (SELECT page_id, url, {_key('url')} AS a, html, {_BASE} AS based FROM pages)),
+raw AS ({_linked('(?i)<link\\b[^>]*\\brel\\s*=\\s*[\\x22\\x27]?canonical\\b[^>]*>', _HREF)}
   UNION ALL {_linked('(?i)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*[\\x22\\x27]?refresh\\b[^>]*>', f'(?i)\\burl\\s*=\\s*[\\x22\\x27]?({_QUOTED})')}),
 e AS (SELECT a, {_key('raw')} AS b FROM raw WHERE raw IS NOT NULL
   UNION SELECT a, regexp_replace(regexp_replace({_FORM}, '\\.html?(\\?|$)', '\\1', 'g'), '([^/:])/+(\\?|$)', '\\1\\2', 'g') FROM k),

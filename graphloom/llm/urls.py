@@ -16,9 +16,12 @@ port, fragment or tracking parameters.
 
 Defined results: a null or blank URL has a null key and is kept (reason
 'none'); an address without a host is a key as it stands. Rows with equal keys
-are aliases; repeated rows each get a row. Null markup has no links; a link
-that isn't absolute is resolved against the page's scheme and host. Rules with
-null or empty patterns are ignored. Null page_ids pass; other columns are
+are aliases; repeated rows each get a row; of the links of one kind on a page
+the first counts. Null markup has no links; a link that isn't absolute is
+resolved against the page's ``<base href>`` if that is absolute, else against
+the page's own address: its folder, less one for each leading ``../``. Rules
+with null or empty patterns are ignored. Very long addresses and markup are
+read whole. Null page_ids pass; other columns are
 ignored by ``decide`` and passed on by ``keep``; an empty table gives no rows.
 """
 
@@ -73,24 +76,41 @@ def served_form(key: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(form, r"\.html?(\?|$)", "$1"), r"([^/:])/+(\?|$)", "$1$2")
 
 
-def _link(html: Column, key: Column, tag: str, href: str) -> Column:
-    """The key of the address that a tag names, made absolute."""
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*://"
+_HREF = r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
 
-    def absolute(found: Column) -> Column:
-        root = F.regexp_extract(key, r"^([a-z][a-z0-9+.-]*://[^/?]*)", 1)
-        whole = F.when(found.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), found).when(found.startswith("//"), F.concat(F.regexp_extract(key, r"^([a-z][a-z0-9+.-]*:)", 1), found))
-        whole = whole.when(found.startswith("/"), F.concat(root, found)).otherwise(F.concat(root, F.lit("/"), found))
-        return F.when(found != "", url_key(whole))
 
-    return _let(F.regexp_replace(F.trim(F.regexp_extract(F.regexp_extract(html, tag, 0), href, 1)), "&amp;", "&"), absolute)
+def absolute(found: Column, page: Column) -> Column:
+    """The key of a link on a page."""
+    root = F.regexp_extract(page, r"^([a-z][a-z0-9+.-]*://[^/?]*)", 1)
+    steps = F.filter(F.split(F.regexp_extract(page, r"^[a-z][a-z0-9+.-]*://[^/?]*/((?:[^?/]*/)*)", 1), "/"), lambda s: s != "")
+    near = F.regexp_replace(found, r"^(\./)+", "")
+    up = (F.length(F.regexp_extract(near, r"^((?:\.\./)*)", 1)) / 3).cast("int")
+    folder = F.array_join(F.slice(steps, F.lit(1), F.greatest(F.lit(0), F.size(steps) - up)), "/")
+    inside = F.concat(root, F.lit("/"), F.when(folder != "", F.concat(folder, F.lit("/"))).otherwise(""), F.regexp_replace(near, r"^(\.\./)+", ""))
+    whole = F.when(found.rlike(_SCHEME), found).when(found.startswith("//"), F.concat(F.regexp_extract(page, r"^([a-z][a-z0-9+.-]*:)", 1), found))
+    whole = whole.when(found.startswith("/"), F.concat(root, found)).when(found.startswith("?"), F.concat(F.regexp_replace(page, r"\?.*$", ""), found)).otherwise(inside)
+    return F.when(found != "", url_key(whole))
+
+
+def _named(html: Column, tag: str, href: str) -> Column:
+    """The address in the first tag of a kind; empty if there is none."""
+    return F.regexp_replace(F.trim(F.regexp_extract(F.regexp_extract(html, tag, 0), href, 1)), "&amp;", "&")
+
+
+def _link(html: Column, page: Column, tag: str, href: str) -> Column:
+    """The key of the address that a tag names."""
+    return _let(_named(html, tag, href), lambda found: absolute(found, page))
 
 
 def page_edges(pages: DataFrame) -> DataFrame:
     """(a, b) from canonical links, refreshes and served forms of (url, html)."""
     _shared.require(pages, "url", "html")
     rows = pages.select(url_key(F.col("url").cast("string")).alias("a"), F.col("html").cast("string").alias("html"))
-    canonical = _link(F.col("html"), F.col("a"), r"(?i)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)")
-    refresh = _link(F.col("html"), F.col("a"), r"(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)")
+    based = _let(_named(F.col("html"), r"(?i)<base\b[^>]*>", _HREF), lambda found: F.when(found.rlike(_SCHEME), url_key(found)))
+    rows = rows.withColumn("page", F.coalesce(based, "a"))
+    canonical = _link(F.col("html"), F.col("page"), r"(?i)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", _HREF)
+    refresh = _link(F.col("html"), F.col("page"), r"(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)")
     return rows.select("a", F.explode(F.array_compact(F.array(canonical, refresh, served_form(F.col("a"))))).alias("b"))
 
 

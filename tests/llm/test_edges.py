@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,7 +129,7 @@ def test_bpe_notices_another_order(spark):
     import pyarrow as pa
 
     a, b = (bpe.numbered(pa.array([x], pa.large_string()))[0] for x in ("one two", "two six"))
-    sums = [bpe._checksum(bpe._hashes(w), range_) for w in (a, b) for range_ in [__import__("numpy").arange(len(w))]]
+    sums = [bpe._checksum(bpe._hashes(w), range_) for w in (a, b) for range_ in [np.arange(len(w))]]
     assert sums[0] != sums[1]
 
 
@@ -191,6 +192,73 @@ def test_urls(spark):
     assert not urls.decide(pages, rules.limit(0)).where("blocked").count()
 
 
+@pytest.mark.parametrize(
+    ("page", "html", "want"),
+    [
+        ("https://h.example/dir/sub/a.html?q=1", '<link rel=canonical href="b.html">', "https://h.example/dir/sub/b.html"),
+        ("https://h.example/dir/sub/a", '<link rel=canonical href="./b">', "https://h.example/dir/sub/b"),
+        ("https://h.example/dir/sub/a", '<link rel=canonical href="../../../b">', "https://h.example/b"),
+        ("https://h.example/dir/sub/a", '<link rel=canonical href="../b?x=1&amp;y=2">', "https://h.example/dir/b?x=1&y=2"),
+        ("https://h.example", '<link rel=canonical href="b">', "https://h.example/b"),
+        ("https://h.example/a?z=1", '<link rel=canonical href="?page=2">', "https://h.example/a?page=2"),
+        ("https://h.example/x/a", '<base href="https://other.example/k/"><link rel=canonical href="b">', "https://other.example/k/b"),
+        ("https://h.example/x/a", '<base href="/k/"><link rel=canonical href="b">', "https://h.example/x/b"),
+        ("https://h.example/x/a", '<link rel=canonical href="/b"><link rel=canonical href="/c">', "https://h.example/b"),
+    ],
+)
+def test_links_are_resolved(spark, page, html, want):
+    rows = urls.page_edges(spark.createDataFrame([(page, html)], "url string, html string")).collect()
+    assert want in {r.b for r in rows}
+
+
+def test_pictures_that_promise_too_much(spark):
+    """A header of 65,535 x 65,535 with a few bytes of data is refused before anything is allocated."""
+    good = jpeg.render([b"abc" * 50], 0)[0]
+    at = good.index(b"\xff\xc0") + 5
+    huge = good[:at] + b"\xff\xff\xff\xff" + good[at + 4 :]
+    image = jpeg.parse(huge)
+    assert (image.status, image.width, image.height) == ("corrupt", 65_535, 65_535)
+    assert jpeg.decode([image]) == [None]
+
+
+def test_pictures_with_tables_of_their_own():
+    """Each picture has its own codes, as optimising encoders write them; many more than are held at a time."""
+    import random
+
+    rng = random.Random(2)
+    pages = [bytes(rng.randrange(32, 127) for _ in range(600)) for _ in range(40)]
+    images, want = [], []
+    for data in pages:
+        y = np.full(640, 32, np.uint8)
+        y[:600] = np.frombuffer(data, np.uint8)
+        own = [(codes[0], bytes(rng.sample(list(codes[1]), len(codes[1])))) for codes in (jpeg.DC_CODES, jpeg.AC_CODES)]
+        images.append(jpeg.parse(jpeg.encode_all([([y.reshape(10, 64)], 64, 10)], [(1, 1)], codes=own)[0]))
+        want.append(jpeg.decode([jpeg.parse(jpeg.encode_all([([y.reshape(10, 64)], 64, 10)], [(1, 1)])[0])])[0])
+    got = jpeg.decode(images)
+    assert all((a == b).all() for a, b in zip(got, want, strict=True))
+    assert len({t for x in images for pair in x.tables for t in pair}) > jpeg.TABLES
+
+
+def test_pictures_of_other_kinds():
+    good = jpeg.render([b"abc" * 50], 0)[0]
+    at = good.index(b"\xff\xc0")
+    assert jpeg.parse(good[: at + 1] + b"\xc2" + good[at + 2 :]).status == "unsupported"
+    assert jpeg.parse(good[: at + 4] + b"\x0c" + good[at + 5 :]).status == "unsupported"
+
+
+def test_ties_go_to_the_smaller_id(spark):
+    rows = [(i, [float(i // 4), 0.0]) for i in range(16)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in ann.neighbours(table, k=3).collect():
+        got.setdefault(r.vec_id, []).append((r.rank, r.neighbour_id))
+    for i in range(16):
+        want = sorted((abs(i // 4 - j // 4), j) for j in range(16) if j != i)[:3]
+        assert [j for _, j in sorted(got[i])] == [j for _, j in want]
+    model = quality.Model(np.ones(1), None, np.array([[1.0, 0.0]] * 4), np.array([1.0, 1.0, 0.0, 0.0]), np.arange(4), 2)
+    assert quality._vote(np.array([[1.0, 0.0]]), np.array([-1]), model)[0] == 1.0
+
+
 def test_pipeline_stages(spark, docs, labels, tmp_path):
     folder = str(tmp_path)
     docs.write.parquet(f"{folder}/documents.parquet")
@@ -214,4 +282,13 @@ def test_pipeline_end_to_end(spark, docs, labels, tmp_path):
         stage(spark, step, folder).write.parquet(f"{folder}/s{i}")
         step = spark.read.parquet(f"{folder}/s{i}")
     assert sorted((r.doc_id or -1) for r in out) == sorted((r.doc_id or -1) for r in step.collect())
+    # in the order of place the documents stand as the schedule has them
+    slots = {}
+    for r in mixing.schedule(spark.read.parquet(f"{folder}/s2")).where("token_from = 0").collect():
+        slots.setdefault(r.doc_id, []).append(r.slot)
+    taken, last = {k: sorted(v) for k, v in slots.items()}, -1
+    for r in sorted(out, key=lambda r: r.place):
+        slot = taken[r.doc_id].pop(0)
+        assert slot >= last
+        last = slot
     assert all(r.round_trip for r in out)
