@@ -12,6 +12,8 @@ from . import _shared, _text
 
 #: The most labelled documents that a model is fitted on.
 CAP = 4_000
+#: Rows of a table of dense counts.
+ROWS = 512
 
 
 def bounded(docs: DataFrame, label: Column, cap: int = CAP) -> DataFrame:
@@ -48,7 +50,7 @@ def dense_blocks(column: pa.Array, buckets: Callable[[np.ndarray, np.ndarray, np
     ``buckets`` gets bytes, starts and owners of a block, and a dict that it may use to remember the block before.
     """
     kept_row, kept, memory = -1, None, {}
-    for data, starts, owners in _text.blocks(column, lap=lap):
+    for data, starts, owners in _text.blocks(column, _text.BLOCK // 4, lap=lap, most=ROWS):
         part, bucket = buckets(data, starts, owners, memory)
         table = np.bincount(part * width + bucket, minlength=len(owners) * width).reshape(len(owners), width).astype(np.float64)
         if kept is not None and owners[0] == kept_row:

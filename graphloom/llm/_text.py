@@ -78,11 +78,11 @@ def piece_cut(data: np.ndarray, at: int, end: int, limit: int) -> int:
         size *= 2
 
 
-def blocks(column: pa.Array, limit: int | None = None, cut: Callable[[np.ndarray, int, int, int], int] = word_cut, lap: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def blocks(column: pa.Array, limit: int | None = None, cut: Callable[[np.ndarray, int, int, int], int] = word_cut, lap: int = 0, most: int = 1 << 30) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(bytes, n + 1 starts of parts, owner of each part); parts are whole documents, or what ``cut`` makes of long ones.
 
     Where the first part goes on with a document, it begins at ``lap``, after
-    the last bytes of the part before.
+    the last bytes of the part before. A block has ``most`` parts at most.
     """
     limit = limit or BLOCK
     data, offsets = raw(column)
@@ -100,7 +100,7 @@ def blocks(column: pa.Array, limit: int | None = None, cut: Callable[[np.ndarray
     ends = np.r_[starts[1:], offsets[-1:]]
     first, n = 0, len(starts)
     while first < n:
-        last = max(first + 1, int(np.searchsorted(ends, starts[first] + limit, "right")))
+        last = min(first + most, max(first + 1, int(np.searchsorted(ends, starts[first] + limit, "right"))))
         base = starts[first] - min(lap, starts[first] - offsets[owners[first]])
         yield data[base : ends[last - 1]], np.r_[starts[first:last], ends[last - 1]] - base, owners[first:last]
         first = last
@@ -193,6 +193,13 @@ def _kinds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return kind, lead
 
 
+def first_kinds(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Class of the character that begins at each place."""
+    b = [np.where(at + i < len(data), data[np.minimum(at + i, len(data) - 1)], 0).astype(np.int64) for i in range(4)]
+    code = np.where(b[0] < 0x80, b[0], np.where(b[0] < 0xE0, (b[0] & 31) << 6 | b[1] & 63, np.where(b[0] < 0xF0, (b[0] & 15) << 12 | (b[1] & 63) << 6 | b[2] & 63, (b[0] & 7) << 18 | (b[1] & 63) << 12 | (b[2] & 63) << 6 | b[3] & 63)))
+    return _classes()[np.minimum(code, 0x10FFFF)]
+
+
 def piece_starts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Where the pieces of byte-level BPE begin.
 

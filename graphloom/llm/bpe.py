@@ -94,18 +94,53 @@ def numbered(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return coded.dictionary.take(pa.array(order)), place[number], sizes
 
 
-def _each(words: pa.Array, vocabulary: str) -> list[list[int]]:
-    """Ids of each word: a piece by itself is one piece to the pattern."""
-    one = encoding(vocabulary).encode_ordinary
-    return [one(word) for word in words.cast(pa.large_binary()).cast(pa.large_string()).to_pylist()]
+@lru_cache(maxsize=2)
+def _piece_sizes(vocabulary: str) -> np.ndarray:
+    return pyarrow.compute.binary_length(pieces(vocabulary)).to_numpy()
 
 
 def encode_words(words: pa.Array, vocabulary: str) -> tuple[np.ndarray, np.ndarray]:
-    """Flat ids and n + 1 offsets of an array of words."""
-    ids = _each(words, vocabulary)
-    offsets = np.zeros(len(ids) + 1, np.int64)
-    np.cumsum([len(x) for x in ids], out=offsets[1:])
-    return np.fromiter((x for one in ids for x in one), np.int32, int(offsets[-1])), offsets
+    """Flat ids and n + 1 offsets of an array of words, each of them one piece to the pattern.
+
+    Words that begin with a blank stay pieces when they are joined, so they go
+    to the tokenizer together; the sizes of the pieces of the ids tell where
+    each of them ends.
+    """
+    n = len(words)
+    words = words.cast(pa.large_binary())
+    data, ends = _text.raw(words)
+    first, size = ends[:-1], np.diff(ends)
+    after = np.minimum(first + 1, max(0, len(data) - 1))
+    joined = np.zeros(n, bool)
+    if n:
+        small = (size > 1) & (data[np.minimum(first, len(data) - 1)] == 32)
+        joined[small] = _text.first_kinds(data, after[small]) != 0
+    one = encoding(vocabulary).encode_ordinary
+    counts, flat = np.zeros(n, np.int64), []
+    places = []
+    at = np.flatnonzero(joined)
+    for a in range(0, len(at), 50_000):
+        some = at[a : a + 50_000]
+        ids = np.array(one(b"".join(words.take(pa.array(some)).to_pylist()).decode()), np.int32)
+        upto = np.cumsum(_piece_sizes(vocabulary)[ids])
+        want = np.cumsum(size[some])
+        last = np.searchsorted(upto, want)
+        if (upto[last] != want).any():
+            raise RuntimeError("a piece crosses a word")
+        counts[some] = np.diff(np.r_[-1, last])
+        flat.append(ids)
+        places.append(some)
+    rest = np.flatnonzero(~joined)
+    lists = [one(word.decode()) for word in words.take(pa.array(rest)).to_pylist()]
+    counts[rest] = [len(x) for x in lists]
+    flat.append(np.fromiter((x for ids in lists for x in ids), np.int32, int(counts[rest].sum())))
+    places.append(rest)
+    order = np.concatenate(places)
+    offsets = np.r_[0, np.cumsum(counts)]
+    grouped = np.concatenate(flat)
+    out = np.empty(len(grouped), np.int32)
+    out[np.repeat(offsets[order] - np.r_[0, np.cumsum(counts[order])[:-1]], counts[order]) + np.arange(len(grouped))] = grouped
+    return out, offsets
 
 
 def expand(number: np.ndarray, sizes: np.ndarray, ids: np.ndarray, offsets: np.ndarray, step: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
@@ -132,8 +167,9 @@ def encode_local(column: pa.Array, vocabulary: str, known: dict[bytes, list[int]
     listed = words.to_pylist()
     ids = [known.get(word) for word in listed]
     fresh = [i for i, got in enumerate(ids) if got is None]
-    for i, got in zip(fresh, _each(words.take(pa.array(fresh, pa.int64())), vocabulary), strict=True):
-        ids[i] = got
+    flat, at = encode_words(words.take(pa.array(fresh, pa.int64())), vocabulary)
+    for i, a, b in zip(fresh, at[:-1].tolist(), at[1:].tolist(), strict=True):
+        ids[i] = got = flat[a:b].tolist()
         if len(known) < keep:
             known[listed[i]] = got
     offsets = np.zeros(len(ids) + 1, np.int64)

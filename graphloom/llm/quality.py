@@ -123,13 +123,17 @@ def _weighted(table: np.ndarray, weight: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, cap: int = CAP, k: int = K, rank: int = RANK) -> Model:
     """Weights, space and labelled vectors from at most ``cap`` labelled documents."""
     rows = [r for r in _sample.counted(docs.select("doc_id", "text"), _sample.training_docs(docs, labels, "quality", cap), counts) if len(r[2])]
-    table = np.zeros((len(rows), WIDTH))
-    for i, r in enumerate(rows):
-        table[i, r[2]] = r[3]
-    weight = np.log((1 + len(rows)) / (1 + (table > 0).sum(0))) + 0.2
+    held = np.bincount(np.concatenate([r[2] for r in rows]).astype(np.int64), minlength=WIDTH) if rows else np.zeros(WIDTH)
+    weight = np.log((1 + len(rows)) / (1 + held)) + 0.2
     if not rows:
         return Model(weight, np.zeros((WIDTH, 1)), np.zeros((0, 1)), np.zeros(0), np.zeros(0, np.int64), k)
-    x = _weighted(table, weight)
+    x = np.empty((len(rows), WIDTH))
+    for a in range(0, len(rows), DOCS):
+        some = rows[a : a + DOCS]
+        table = np.zeros((len(some), WIDTH))
+        for i, r in enumerate(some):
+            table[i, r[2]] = r[3]
+        x[a : a + DOCS] = _weighted(table, weight)
     value, vector = np.linalg.eigh(x.T @ x)
     space = vector[:, ::-1][:, : min(rank, len(rows))]
     vectors = x @ space
