@@ -27,17 +27,49 @@ def cut(df: DataFrame) -> DataFrame:
 def role_pairs(edges: DataFrame, overlap_min: int = 2, cosine_min: float = 0.2, jaccard_min: float = 0.1, signature_min: int = 1, max_token_degree: int | None = None) -> DataFrame:
     """(a, b, overlap, cosine, jaccard, size_a, size_b) of nodes with like neighbourhoods, types aside.
 
-    Pairs come from an equi-join on shared tokens (direction and neighbour).
     ``max_token_degree`` leaves out hub tokens; off by default, as it changes results.
     """
     tokens = graph.symmetric(edges).select(F.col("node").alias("n"), F.concat_ws("|", "direction", "neighbour").alias("token")).distinct()
+    return similar(tokens, overlap_min, cosine_min, jaccard_min, signature_min, max_token_degree)
+
+
+def typed_pairs(named: DataFrame, mapping: DataFrame | None = None, overlap_min: int = 2, cosine_min: float = 0.2, jaccard_min: float = 0.1, signature_min: int = 1) -> DataFrame:
+    """The same by names and with types in the signatures; ``mapping`` (rel_type, representative) puts a cluster's representative for its types."""
+    rows = named.select("source_name", "target_name", "rel_type")
+    if mapping is not None:
+        rows = rows.join(F.broadcast(mapping), "rel_type", "left").withColumn("rel_type", F.coalesce("representative", "rel_type"))
+    out = rows.select(F.col("source_name").alias("n"), F.concat_ws("|", F.lit("o"), "rel_type", "target_name").alias("token"))
+    into = rows.select(F.col("target_name").alias("n"), F.concat_ws("|", F.lit("i"), "source_name", "rel_type").alias("token"))
+    return similar(out.unionByName(into).distinct(), overlap_min, cosine_min, jaccard_min, signature_min)
+
+
+def similar(tokens: DataFrame, overlap_min: int, cosine_min: float, jaccard_min: float, signature_min: int, max_token_degree: int | None = None) -> DataFrame:
+    """Pairs of sets (n, token) above the thresholds, by an exact prefix filter.
+
+    A set of size s reaches a cosine of c or a jaccard of j only with sets of
+    c²s and js tokens at least, and shares as many with them; so each set needs
+    to show only its s - that + 1 rarest tokens, of which such pairs share one.
+    Hubs are the commonest tokens, hence seldom shown. The overlap of the
+    candidates is counted exactly afterwards.
+    """
+    part = max(cosine_min * cosine_min, jaccard_min)
     sizes = tokens.groupBy("n").agg(F.count("*").alias("size")).where(F.col("size") >= signature_min)
     tokens = tokens.join(sizes, "n")
+    degree = tokens.groupBy("token").agg(F.count("*").alias("degree"))
     if max_token_degree is not None:
-        tokens = tokens.join(tokens.groupBy("token").count().where(F.col("count") <= max_token_degree).select("token"), "token", "left_semi")
-    left = tokens.select("token", F.col("n").alias("a"), F.col("size").alias("size_a"))
-    right = tokens.select("token", F.col("n").alias("b"), F.col("size").alias("size_b"))
-    pairs = left.join(right, "token").where("a < b").groupBy("a", "b", "size_a", "size_b").agg(F.count("*").alias("overlap")).where(F.col("overlap") >= overlap_min)
+        degree = degree.where(F.col("degree") <= max_token_degree)
+    tokens = tokens.join(degree, "token")
+    rank = F.row_number().over(Window.partitionBy("n").orderBy("degree", "token"))
+    least = F.greatest(F.lit(overlap_min), F.ceil(F.lit(part) * F.col("size") - 1e-9))
+    whole = F.lit(max_token_degree is not None)  # sizes count dropped tokens too: no filter then
+    shown = tokens.withColumn("r", rank).where(whole | (F.col("r") <= F.col("size") - least + 1)).select("token", "n", "size")
+    left = shown.select("token", F.col("n").alias("a"), F.col("size").alias("size_a"))
+    right = shown.select("token", F.col("n").alias("b"), F.col("size").alias("size_b"))
+    near = (F.col("size_a") * part <= F.col("size_b") + 1e-9) & (F.col("size_b") * part <= F.col("size_a") + 1e-9)
+    candidates = left.join(right, "token").where((F.col("a") < F.col("b")) & near).select("a", "b", "size_a", "size_b").distinct()
+    held = tokens.select("n", "token")
+    pairs = candidates.join(held.select(F.col("n").alias("a"), "token"), "a").join(held.select(F.col("n").alias("b"), "token"), ["b", "token"])
+    pairs = pairs.groupBy("a", "b", "size_a", "size_b").agg(F.count("*").alias("overlap")).where(F.col("overlap") >= overlap_min)
     pairs = pairs.withColumn("c", F.col("overlap") / F.sqrt(F.col("size_a") * F.col("size_b"))).withColumn("j", F.col("overlap") / (F.col("size_a") + F.col("size_b") - F.col("overlap")))
     return pairs.where((F.col("c") >= cosine_min) & (F.col("j") >= jaccard_min)).select("a", "b", "overlap", F.round("c", 6).alias("cosine"), F.round("j", 6).alias("jaccard"), "size_a", "size_b")
 

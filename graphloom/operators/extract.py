@@ -6,7 +6,7 @@ import json
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from graphloom.functions import text
 
@@ -39,6 +39,17 @@ def keyword_list(value: object, fallback: list[str] | None = None) -> list[str]:
     return list(fallback or []) if parts is None else [k for k in (str(p).strip() for p in parts) if k]
 
 
+def endpoint_name(value: Column) -> Column:
+    """Name of an end given as JSON, a string or an object; null if there is none."""
+    name = F.coalesce(F.get_json_object(value, "$.name"), F.when(F.trim(value).startswith('"'), F.get_json_object(F.concat(F.lit("["), value, F.lit("]")), "$[0]")))
+    return F.nullif(F.substring(text.squeeze(name), 1, 256), F.lit(""))
+
+
+def keywords_of(value: Column) -> Column:
+    """Names between commas; blanks dropped."""
+    return F.filter(F.transform(F.split(value, ","), lambda k: F.trim(k)), lambda k: k != "")
+
+
 def weight_of(value: object, fallback: float) -> float:
     try:
         return min(1.0, max(0.0, float(value)))  # type: ignore[arg-type]

@@ -79,6 +79,17 @@ def split(piece: str, size: int, overlap: int = 0, separators: tuple[str, ...] =
     return [x.strip() for x in out if x.strip()]
 
 
+def clean(chunks: Column) -> Column:
+    """Trimmed chunks, blank ones dropped."""
+    return F.filter(F.transform(chunks, lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")), lambda c: c != "")
+
+
+def joined(left: Column, right: Column) -> Column:
+    """Two units of code with one line break at least between them; an empty side adds nothing."""
+    glue = F.when(left.endswith("\n") | right.startswith("\n"), F.lit("")).otherwise(F.lit("\n"))
+    return F.when(left == "", right).when(right == "", left).otherwise(F.concat(left, glue, right))
+
+
 def code_language(c: Column) -> Column:
     """The first language whose mark occurs; null for prose."""
     (first, pattern), *rest = LANGUAGES

@@ -2,8 +2,9 @@
 
 The edges stay in the cluster, scored by joins; the driver walks over the
 neighbourhoods it asks for. Budgets and beams bound what it asks for: an
-energy of 7 and a least cost of 0.05 allow 140 steps, so a node's first
-``WIDE`` edges (140 steps and 160 nodes seen) decide as all of them would.
+energy of 7 and a least cost of 0.05 allow 140 steps, so of a node's
+neighbours the first ``WIDE`` by their best edge (140 steps and 160 nodes seen),
+and of each of them the first ``STEPS`` edges, decide as all of them would.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from graphloom.functions import text, udfs
 from . import graph
 
 WIDE = 320
+STEPS = 140
 
 
 @dataclass
@@ -54,7 +56,7 @@ def score_edges(described: DataFrame, query: Sequence[float], tokens: Sequence[s
 
 
 class Neighbourhoods:
-    """Adjacency fetched on demand: the ``wide`` best edges of each node asked for."""
+    """Adjacency fetched on demand: the best edges of the ``wide`` best neighbours of each node asked for."""
 
     def __init__(self, scored: DataFrame, least: float | None = None, wide: int = WIDE):
         rows = scored if least is None else scored.where(F.col("combined") >= least)
@@ -67,8 +69,11 @@ class Neighbourhoods:
         if not fresh:
             return
         self._known.update({n: [] for n in fresh})
-        order = Window.partitionBy("node").orderBy(F.desc("combined"), F.desc("neighbour"), F.desc("rel_id"))
-        rows = self._both.where(F.col("node").isin(fresh)).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= self._wide)
+        some = self._both.where(F.col("node").isin(fresh))
+        inside = Window.partitionBy("node", "neighbour").orderBy(F.desc("combined"), F.desc("rel_id"))
+        some = some.withColumn("_k", F.row_number().over(inside)).where(F.col("_k") <= STEPS).withColumn("_best", F.max("combined").over(Window.partitionBy("node", "neighbour")))
+        order = Window.partitionBy("node").orderBy(F.desc("_best"), F.desc("neighbour"))
+        rows = some.withColumn("_n", F.dense_rank().over(order)).where(F.col("_n") <= self._wide)
         for r in rows.select("node", "combined", "neighbour", "rel_id").collect():
             self._known[r.node].append((r.combined, r.neighbour, r.rel_id))
         for n in fresh:

@@ -7,9 +7,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from graphloom.functions import text, udfs
-from graphloom.operators import aggregates, graph, knn, mentions, traverse
-from graphloom.sources import tables
+from graphloom.functions import prompts, text, udfs
+from graphloom.operators import aggregates, analytics, graph, knn, lookups, mentions, traverse
+from graphloom.sources import descriptions, tables
 
 RESULT = "response string, entities_used array<string>, relationships_used array<string>, mode string"
 _NAMES = {"entity-first": "local ent entity entity-first", "relationship-first": "rel relationship relationship-first", "hybrid": "hyb hybrid", "mix": "mix"}
@@ -30,12 +30,14 @@ class Engine:
     aliases: DataFrame
     named: DataFrame
     chunks: DataFrame
+    entity_notes: DataFrame
+    relation_notes: DataFrame
     embed: Callable[[str], list[float]] = field(default=lambda t: udfs.embed(t).tolist())
     answer: Callable[[str, str], str] = echo
 
     @classmethod
     def over(cls, spark: SparkSession, sf_dir: str) -> Engine:
-        return cls(tables.entities(spark, sf_dir), tables.entity_aliases(spark, sf_dir), tables.named_relations(spark, sf_dir), tables.chunks(spark, sf_dir))
+        return cls(tables.entities(spark, sf_dir), tables.entity_aliases(spark, sf_dir), tables.named_relations(spark, sf_dir), tables.chunks(spark, sf_dir), descriptions.entity_descriptions(spark, sf_dir), descriptions.relation_descriptions(spark, sf_dir))
 
     @property
     def spark(self) -> SparkSession:
@@ -64,11 +66,11 @@ class Engine:
         once = aggregates.top_per(named.unionByName(near), ["name"], [F.col("source"), F.desc("score"), F.col("id")], 1)
         return once.orderBy("source", F.desc("score"), "id").select("id", "name", "score").limit(k)
 
-    def scored(self, question: str) -> DataFrame:
-        """All relations with similarity and combined score: computed once, whatever the traversal."""
-        tokens = self._one(text.query_tokens(F.lit(question)))
+    def scored(self, question: str, *more: str) -> DataFrame:
+        """All relations with similarity and combined score, stored once per question, however often a traversal asks. The tokens of ``more`` questions count too."""
+        tokens = sorted({t for q in (question, *more) for t in self._one(text.query_tokens(F.lit(q)))})
         query = self.embed(self._one(text.relation_query(F.lit(question))))
-        return traverse.score_edges(tables.describe(self.named), query, tokens)
+        return analytics.cut(traverse.score_edges(tables.describe(self.named), query, tokens))
 
     def relation_seeds(self, scored: DataFrame, k: int = 10, least: float = 0.3) -> DataFrame:
         return scored.where(F.col("sim") >= least).orderBy(F.desc("sim"), "rel_id").limit(k)
@@ -83,23 +85,71 @@ class Engine:
             near[r.src], near[r.dst] = max(near.get(r.src, 0.0), r.sim), max(near.get(r.dst, 0.0), r.sim)
         return traverse.energy_first(traverse.Neighbourhoods(scored, least), seeds, near, energy)
 
-    def relationship_first(self, question: str, scored: DataFrame | None = None, ends: int = 30, pairs: int = 40) -> traverse.State:
-        scored = self.scored(question) if scored is None else scored
+    def seeded(self, scored: DataFrame, ends: int, pairs: int) -> traverse.State:
         seeds = [(r.rel_id, r.src, r.dst, r.combined) for r in self.relation_seeds(scored).collect()]
         return traverse.seed_pairs(traverse.Neighbourhoods(scored), seeds, ends, pairs)
 
-    def anchors(self, question: str, scored: DataFrame | None = None) -> traverse.State:
-        """Mentioned entities and their 40 heaviest relations."""
+    def filtered(self, question: str, state: traverse.State, least: float = 0.0) -> traverse.State:
+        """A state's entities that score enough as candidates of the question (0 if they aren't), with its relations inside them and all other relations between them."""
+        if not state.relevance:
+            return state
+        score = {}
+        for r in self.candidates(question).collect():
+            score.setdefault(r["name"].strip().lower(), float(r.score or 0.0))
+        found = self.spark.createDataFrame([(n,) for n in sorted(state.relevance)], "id string")
+        names = {r.id: r["name"].strip().lower() for r in self.entities.join(F.broadcast(found), "id", "left_semi").collect()}
+        kept = {i: max(state.relevance[i], score.get(n, 0.0)) for i, n in names.items() if score.get(n, 0.0) >= least}
+        out = traverse.State(kept)
+        if not kept:
+            return out
+        nodes = self.spark.createDataFrame([(n,) for n in sorted(kept)], "node string")
+        induced = sorted(r.rel_id for r in graph.inside(self.named, F.broadcast(nodes)).select("rel_id").collect())
+        known = set(induced)
+        own = [r for r in state.relations if r in known]
+        for r in [*own, *[r for r in induced if r not in set(own)]]:
+            out.cross(r)
+            out.scores[r] = state.scores.get(r, 0.0)
+        out.relations.sort(key=lambda r: -out.scores[r])
+        return out
+
+    def relationship_first(self, question: str, scored: DataFrame | None = None, ends: int = 30, pairs: int = 40) -> traverse.State:
+        scored = self.scored(question) if scored is None else scored
+        return self.filtered(question, self.seeded(scored, ends, pairs))
+
+    def anchors(self, question: str, scored: DataFrame | None = None, names: list[str] | None = None) -> traverse.State:
+        """Entities of some names (by default those that the question mentions) and their 40 heaviest relations."""
         scored = self.scored(question) if scored is None else scored
-        state = traverse.State({r.entity_id: r.score for r in self.mentioned(question).collect()})
+        if names is None:
+            state = traverse.State({r.entity_id: r.score for r in self.mentioned(question).collect()})
+        else:
+            wanted = self.spark.createDataFrame([(n,) for n in names], "name string")
+            state = traverse.State({r.entity_id: 1.0 for r in lookups.name_variants(wanted, self.entities, self.aliases).collect()})
         nodes = self.spark.createDataFrame([(n,) for n in state.relevance], "node string")
-        for r in traverse.limited(scored.drop("combined"), nodes, 0.95, 40).collect():
+        tokens = F.lit(self._one(text.query_tokens(F.lit(question))))
+        for r in traverse.limited(scored.drop("combined"), nodes, 0.95, 40, tokens).collect():
             state.cross(r.rel_id)
             state.scores[r.rel_id] = r.combined
             state.meet(r.src, r.combined)
             state.meet(r.dst, r.combined)
         return state
 
+    def subqueries(self, names: list[str]) -> list[str]:
+        """Questions about the first eight candidates, in two halves."""
+        rows = self.spark.createDataFrame([("q", n, i + 1) for i, n in enumerate(names[:8])], "question_id string, name string, rank int")
+        return [r.subquery for r in prompts.subqueries(rows).orderBy("ord").collect()]
+
+    def mixed(self, question: str, scored: DataFrame) -> list[traverse.State]:
+        """Relation seeds; and if the best candidate reaches 0.3, the anchors of the first eight and a state for each question about them."""
+        states = [self.filtered(question, self.seeded(scored, 30, 40))]
+        found = [(r["name"], r.score) for r in self.candidates(question).collect()]
+        if not found or (found[0][1] or 0.0) < 0.3:
+            return states
+        names = [n for n, _ in found[:8]]
+        states.append(self.anchors(question, scored, names))
+        for asked in self.subqueries(names):
+            states.append(self.filtered(asked, self.seeded(self.scored(asked, question), 20, 30)))
+        return states
+
     def merged(self, *states: traverse.State) -> tuple[DataFrame, DataFrame]:
         frames = [s.frames(self.spark) for s in states]
         return aggregates.merge_entity_states([f[0] for f in frames]), aggregates.merge_relation_states([f[1] for f in frames])
@@ -114,29 +164,31 @@ class Engine:
             return self.merged(self.relationship_first(question, scored))
         if mode == "hybrid":
             return self.merged(self.entity_first(question, scored), self.relationship_first(question, scored))
-        states = [self.relationship_first(question, scored)]
-        if max(states[0].relevance.values(), default=0.0) >= 0.3 or self.mentioned(question).take(1):
-            states.append(self.anchors(question, scored))
-        return self.merged(*states)
+        return self.merged(*self.mixed(question, scored))
 
     # answers
     def context(self, entities: DataFrame, relations: DataFrame, most_entities: int = 10, most_relations: int = 50) -> DataFrame:
-        """(kind, section, ord, line): the best entities, then relations by type, the best type first."""
+        """(kind, section, key, ord, line): the best entities with four descriptions each, then relations by type, the best type first, a line per description."""
+        best = lambda rows, key: aggregates.top_per(rows, [key], [F.desc("weight"), F.col("description"), F.col("document_id")], 4, "_d")
         e = entities.orderBy(F.desc("relevance"), "entity_id").limit(most_entities).join(self.entities, F.col("entity_id") == F.col("id"))
-        e = e.select(F.lit("entity").alias("kind"), F.lit(1.0).alias("section"), "relevance", F.col("id").alias("key"), text.format_entity(F.col("name"), F.col("primary_type")).alias("line"))
-        r = relations.where(F.col("ord") < most_relations).join(self.named, "rel_id")
-        best = F.max("combined").over(aggregates.Window.partitionBy("rel_type"))
-        line = text.format_relation(F.col("source_name"), F.col("target_name"), F.lower("rel_type"), F.col("keywords"))
-        r = r.select(F.lit("relation").alias("kind"), best.alias("section"), F.col("combined").alias("relevance"), F.col("rel_id").alias("key"), line.alias("line"))
-        order = aggregates.Window.partitionBy("kind").orderBy(F.desc("section"), F.desc("relevance"), "key")
-        return e.unionByName(r).withColumn("ord", F.row_number().over(order))
+        notes = best(lookups.by_keys(self.entity_notes, e.select("entity_id"), "entity_id"), "entity_id").groupBy("entity_id")
+        notes = notes.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_d", "description"))), lambda x: x["description"]), " | ").alias("told"))
+        line = F.concat("name", F.lit(" ("), F.coalesce("primary_type", F.lit("unknown")), F.lit("): "), "told")
+        e = e.join(notes, "entity_id").select(F.lit("entity").alias("kind"), F.lit(1.0).alias("section"), "relevance", F.col("id").alias("key"), F.lit(0).alias("_d"), line.alias("line"))
+        r = relations.orderBy("ord").limit(most_relations).join(self.named.drop("weight"), "rel_id")
+        r = r.join(best(lookups.by_keys(self.relation_notes, r.select("rel_id"), "rel_id"), "rel_id"), "rel_id")
+        section = F.max("combined").over(aggregates.Window.partitionBy("rel_type"))
+        line = F.concat("source_name", F.lit(" -["), "rel_type", F.lit("]-> "), "target_name", F.lit(": "), "description")
+        r = r.select(F.lit("relation").alias("kind"), section.alias("section"), F.col("combined").alias("relevance"), F.col("rel_id").alias("key"), "_d", line.alias("line"))
+        order = aggregates.Window.partitionBy("kind").orderBy(F.desc("section"), F.desc("relevance"), "key", "_d")
+        return e.unionByName(r).withColumn("ord", F.row_number().over(order)).drop("_d")
 
     def _result(self, question: str, lines: list[str], entities: list[str], relations: list[str], mode: str) -> DataFrame:
         return self.spark.createDataFrame([(self.answer(question, "\n\n".join(lines)), entities, relations, mode)], RESULT)
 
     def graph_query(self, question: str, mode: str | None = None) -> DataFrame:
         rows = self.context(*self.state(question, mode)).orderBy("kind", "ord").collect()
-        return self._result(question, [r.line for r in rows], [r.key for r in rows if r.kind == "entity"], [r.key for r in rows if r.kind == "relation"], MODES.get((mode or "mix").lower(), "mix"))
+        return self._result(question, [r.line for r in rows], [r.key for r in rows if r.kind == "entity"], list(dict.fromkeys(r.key for r in rows if r.kind == "relation")), MODES.get((mode or "mix").lower(), "mix"))
 
     def vector_query(self, question: str) -> DataFrame:
         """The nearest five chunks; without a language model the first of them is the answer."""
@@ -151,22 +203,31 @@ class Engine:
         kept = aggregates.budgeted(rows.withColumn("_g", F.lit(0)), ["_g"], order, content, budget).orderBy(*order).collect()
         return [r.shown for r in kept], [r[key] for r in kept if r.whole]
 
+    def _sources(self, entities: DataFrame, relations: DataFrame) -> list[str]:
+        """Chunks that describe some entities (entity_id) or relations (rel_id), within the budget."""
+        ids = lookups.by_keys(self.entity_notes, entities, "entity_id").select("document_id").unionByName(lookups.by_keys(self.relation_notes, relations, "rel_id").select("document_id"))
+        rows = lookups.by_keys(self.chunks, ids, "document_id")
+        return self._budget(rows, [F.col("chunk_index"), F.col("document_id")], "content", "document_id", CHUNK_BUDGET)[0]
+
     def light_local(self, question: str) -> tuple[list[str], list[str], list[str]]:
-        """The twenty nearest entities, their relations, chunks: each within its budget of words."""
-        hits = self.entity_hits(self.keywords(question))
+        """The twenty nearest entities, their relations, the chunks behind both: each within its budget of words."""
+        hits = analytics.cut(self.entity_hits(self.keywords(question)))
         lines, ids = self._budget(hits.withColumn("line", text.format_entity(F.col("name"), F.col("primary_type"))), [F.desc("score"), F.col("id")], "line", "id", ENTITY_BUDGET)
         edges = graph.touching(self.named, hits.select(F.col("id").alias("node")))
         edges = edges.withColumn("line", text.format_relation(F.col("source_name"), F.col("target_name"), F.lower("rel_type"), F.col("keywords")))
-        more, rels = self._budget(edges.orderBy(F.desc("weight"), "rel_id").limit(RELATION_BUDGET), [F.desc("weight"), F.col("rel_id")], "line", "rel_id", RELATION_BUDGET)
-        return lines + more, ids, rels
+        # a line is a word at least, so no row beyond the budget's number of words can be shown
+        edges = analytics.cut(edges.orderBy(F.desc("weight"), "rel_id").limit(RELATION_BUDGET))
+        more, rels = self._budget(edges, [F.desc("weight"), F.col("rel_id")], "line", "rel_id", RELATION_BUDGET)
+        return lines + more + self._sources(hits.select(F.col("id").alias("entity_id")), edges), ids, rels
 
     def light_global(self, question: str) -> tuple[list[str], list[str], list[str]]:
-        """The thirty nearest relations and their ends."""
-        seeds = self.relation_seeds(self.scored(self.keywords(question)), 30, -1.0)
+        """The thirty nearest relations, their ends, and the chunks behind both."""
+        seeds = analytics.cut(self.relation_seeds(self.scored(self.keywords(question)), 30, -1.0))
         rows = seeds.withColumn("line", text.format_relation(F.col("source_name"), F.col("target_name"), F.lower("rel_type"), F.col("keywords")))
         lines, rels = self._budget(rows, [F.desc("sim"), F.col("rel_id")], "line", "rel_id", RELATION_BUDGET)
-        ends = [x for r in seeds.collect() for x in (r.src, r.dst)]
-        return lines, list(dict.fromkeys(ends)), rels
+        ends = [x for r in seeds.orderBy(F.desc("sim"), "rel_id").collect() for x in (r.src, r.dst)]
+        chunks = self._sources(seeds.select(F.explode(F.array("src", "dst")).alias("entity_id")), seeds)
+        return lines + chunks, list(dict.fromkeys(ends)), rels
 
     def light_query(self, question: str, mode: str = "local") -> DataFrame:
         """local, global, hybrid, naive or mix; anything else is local."""

@@ -57,9 +57,15 @@ _mode("rel_seeds", lambda e: e.relation_seeds(e.scored(QUESTION)).select("rel_id
 
 @query()
 def beam_path(spark, sf):
-    near = traverse.Neighbourhoods(_engine(spark, sf).scored(QUESTION))
-    found = traverse.beam_path(near, "supplier:3", "region:0")
-    nodes, rels, _ = found or ([], [], {})
+    """From the source of the question's first relation to what its best neighbour's best neighbour is."""
+    scored = _engine(spark, sf).scored(QUESTION)
+    start = scored.orderBy(F.desc("sim"), "rel_id").first().src
+    near = traverse.Neighbourhoods(scored)
+    near.fetch([start])
+    middle = near[start][0][1]
+    near.fetch([middle])
+    target = next(e[1] for e in near[middle] if e[1] != start)
+    nodes, rels, _ = traverse.beam_path(near, start, target) or ([], [], {})
     return spark.createDataFrame([(i, n, ([*rels, None])[i]) for i, n in enumerate(nodes)], "ord int, node string, rel_id string")
 
 

@@ -326,8 +326,3 @@ def top_descriptions(spark, sf):
 @query(f"WITH {V.RELATIONS_SQL} SELECT src, rel_type, rel_id FROM (SELECT *, row_number() OVER (PARTITION BY src, rel_type ORDER BY weight DESC, rel_id) AS r FROM relations) WHERE r = 1")
 def best_edge_per_type(spark, sf):
     return A.top_per(V.relations(spark, sf), ["src", "rel_type"], [F.desc("weight"), F.col("rel_id")], 1).select("src", "rel_type", "rel_id")
-
-
-@query(f"WITH {V.RELATIONS_SQL} SELECT rel_type, count(*) AS n, CAST(sum(weight) AS BIGINT) AS weight FROM relations GROUP BY rel_type")
-def active_dimensions(spark, sf):
-    return V.relations(spark, sf).groupBy("rel_type").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
