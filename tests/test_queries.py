@@ -1,4 +1,4 @@
-"""Every registered query of the library: against its SQL, or that it gives rows, on the smallest tables."""
+"""Every registered query of the library: against its SQL, or that it runs, on the smallest tables."""
 
 from __future__ import annotations
 
@@ -12,8 +12,8 @@ from graphloom import queries
 from graphloom.sources import tables
 
 SF = "/root/testdata/sf0.001"
-#: Slow, and held against plain Python in test_operators: the walks, modes and centralities behind them.
-SLOW = set("enumerate_cliques pagerank hits eigenvector betweenness harmonic articulation q_naive q_local q_global q_hybrid q_lr_mix graph_hybrid relationship_first anchor_state build_context beam_path".split())
+#: Iterations until they settle, minutes each: test_registered runs them on a small graph.
+SLOW = {"enumerate_cliques", "pagerank", "hits", "eigenvector"}
 
 
 @pytest.fixture(scope="module")
@@ -55,4 +55,5 @@ def test_equals_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.SQL) - SLOW))
 def test_runs(spark, name):
-    assert queries.QUERIES[name](spark, SF).columns
+    """All of it is computed, though nothing is compared."""
+    queries.QUERIES[name](spark, SF).write.format("noop").mode("overwrite").save()
