@@ -30,11 +30,18 @@ class Engine:
     aliases: DataFrame
     named: DataFrame
     chunks: DataFrame
-    entity_notes: DataFrame
-    relation_notes: DataFrame
+    entity_notes: DataFrame | None = None  # (entity_id, description, weight, document_id); without them a type describes its entities
+    relation_notes: DataFrame | None = None  # (rel_id, description, weight, document_id); without them keywords describe a relation
     embed: Callable[[str], list[float]] = field(default=lambda t: udfs.embed(t).tolist())
     answer: Callable[[str, str], str] = echo
 
+    def __post_init__(self) -> None:
+        plain = lambda rows, key, name, told: rows.select(F.col(key).alias(name), told.alias("description"), F.lit(1).alias("weight"), F.lit(None).cast("bigint").alias("document_id"))
+        if self.entity_notes is None:
+            self.entity_notes = plain(self.entities, "id", "entity_id", F.lower("primary_type"))
+        if self.relation_notes is None:
+            self.relation_notes = plain(self.named, "rel_id", "rel_id", F.array_join("keywords", ", "))
+
     @classmethod
     def over(cls, spark: SparkSession, sf_dir: str) -> Engine:
         return cls(tables.entities(spark, sf_dir), tables.entity_aliases(spark, sf_dir), tables.named_relations(spark, sf_dir), tables.chunks(spark, sf_dir), descriptions.entity_descriptions(spark, sf_dir), descriptions.relation_descriptions(spark, sf_dir))
@@ -207,7 +214,8 @@ class Engine:
         """Chunks that describe some entities (entity_id) or relations (rel_id), within the budget."""
         ids = lookups.by_keys(self.entity_notes, entities, "entity_id").select("document_id").unionByName(lookups.by_keys(self.relation_notes, relations, "rel_id").select("document_id"))
         rows = lookups.by_keys(self.chunks, ids, "document_id")
-        return self._budget(rows, [F.col("chunk_index"), F.col("document_id")], "content", "document_id", CHUNK_BUDGET)[0]
+        order = [F.col(c) for c in ("chunk_index", "document_id") if c in rows.columns]
+        return self._budget(rows, order, "content", "document_id", CHUNK_BUDGET)[0]
 
     def light_local(self, question: str) -> tuple[list[str], list[str], list[str]]:
         """The twenty nearest entities, their relations, the chunks behind both: each within its budget of words."""
