@@ -46,7 +46,7 @@ def _tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ``docs`` scans, so as the schedule has them; it is null for other inputs.
     """
     name = _shared.fresh(docs.columns, "_place")[0]
-    tokens = bpe.decode(bpe.encode(_shared.placed(docs, name), place=name))
+    tokens = bpe.encode(_shared.placed(docs, name), place=name, back=True)
     return tokens.select("doc_id", "place", "n_tokens", "token_ids", F.xxhash64("decoded").eqNullSafe(F.col("mark")).alias("round_trip"))
 
 

@@ -9,7 +9,8 @@ shuffled, never texts. Buckets follow the size of the input and are streamed:
 a task holds the distinct words of its bucket and one batch.
 
 ``decode`` joins ids to pieces by index: the id-to-piece table has the fixed
-size of the vocabulary.
+size of the vocabulary. ``encode(back=True)`` decodes the ids of a block where
+they are placed: a ``decode`` behind it needs a second Python worker a task.
 
 Defined results: a null text has null ids; an empty text has an empty list; a
 repeated row is encoded each time; a null ``doc_id`` stays null; other columns
@@ -260,8 +261,27 @@ def buckets_for(docs: DataFrame, least: int) -> int:
     return max(least, min(1 << 16, int(size) // BUCKET_BYTES))
 
 
-def encode(docs: DataFrame, vocabulary: str = VOCABULARY, stored: bool = True, place: str | None = None) -> DataFrame:
-    """(doc_id, token_ids, n_tokens, mark, place) of each document; mark is xxhash64 of the text, place a bigint column that is passed on."""
+def texts_of(ids: pa.ListArray, vocabulary: str) -> pa.Array:
+    """The text of each list of ids; null for null, the replacement sign for bytes that aren't UTF-8."""
+    joined = pieces(vocabulary).take(ids.flatten())
+    ends = np.frombuffer(joined.buffers()[1], np.int64)[joined.offset : joined.offset + len(joined) + 1] if len(joined) else np.zeros(1, np.int64)
+    sizes = np.where(ids.is_null().to_numpy(zero_copy_only=False), 0, ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    at = ends[np.r_[0, np.cumsum(sizes)]]
+    at = at - at[0] if not len(joined) else at
+    data = joined.buffers()[2] if len(joined) else pa.py_buffer(b"")
+    whole = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(np.ascontiguousarray(at)), data])
+    try:
+        text = whole.cast(pa.large_string())
+    except pa.ArrowInvalid:
+        text = pa.array([x.decode("utf-8", "replace") for x in whole.to_pylist()], pa.large_string())
+    return pa.compute.if_else(ids.is_null(), pa.scalar(None, pa.large_string()), text).cast(pa.string())
+
+
+def encode(docs: DataFrame, vocabulary: str = VOCABULARY, stored: bool = True, place: str | None = None, back: bool = False) -> DataFrame:
+    """(doc_id, token_ids, n_tokens, mark, place) of each document; mark is xxhash64 of the text, place a bigint column that is passed on.
+
+    With ``back`` there is a column ``decoded`` as ``decode`` makes it.
+    """
     _shared.require(docs, "doc_id", "text", *([place] if place else []))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), (F.col(place) if place else F.lit(None)).cast("bigint").alias("place"))
     if not stored:
@@ -322,13 +342,18 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, stored: bool = True, p
         sizes = np.array(one["sizes"], np.int64)
         flat, ends = expand(_unpack(one["numbers"], one["n_words"]), np.maximum(sizes, 0), ids, offsets)
         null = sizes < 0
+        out = {"doc_id": pa.array(one["doc_id"], pa.int64()), "token_ids": id_lists(flat, ends, null), "n_tokens": pa.array(np.diff(ends).astype(np.int32), mask=null), "mark": pa.array(one["mark"], pa.int64()), "place": pa.array(one["place"], pa.int64())}
+        del rows, one, ats, lengths, length, offsets, ids, flat
         _shared.release()
-        return pa.table({"doc_id": pa.array(one["doc_id"], pa.int64()), "token_ids": id_lists(flat, ends, null), "n_tokens": pa.array(np.diff(ends).astype(np.int32), mask=null), "mark": pa.array(one["mark"], pa.int64()), "place": pa.array(one["place"], pa.int64())})
+        if back:
+            out["decoded"] = texts_of(out["token_ids"], vocabulary)
+            _shared.release()
+        return pa.table(out)
 
     words = rows.mapInArrow(words_of, "bucket int, block bigint, n int, at binary, sizes binary, words binary, n_bytes bigint, check bigint")
     numbers = rows.mapInArrow(numbers_of, "block bigint, doc_id array<bigint>, mark array<bigint>, place array<bigint>, sizes array<int>, n_words bigint, n_distinct bigint, check bigint, numbers binary")
     ids = words.groupBy("bucket").applyInArrow(ids_of, "block bigint, n int, at binary, lengths binary, ids binary, n_ids bigint, check bigint")
-    return numbers.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(placed, TOKENS + ", mark bigint, place bigint")
+    return numbers.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(placed, TOKENS + ", mark bigint, place bigint" + ", decoded string" * back)
 
 
 def decode(tokens: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -340,23 +365,10 @@ def decode(tokens: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     rows = tokens.drop("decoded")
 
     def text_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pieces(vocabulary)
         for batch in batches:
-            ids = batch.column("token_ids")
-            joined = table.take(ids.flatten())
-            ends = np.frombuffer(joined.buffers()[1], np.int64)[joined.offset : joined.offset + len(joined) + 1] if len(joined) else np.zeros(1, np.int64)
-            sizes = np.where(ids.is_null().to_numpy(zero_copy_only=False), 0, ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-            at = ends[np.r_[0, np.cumsum(sizes)]]
-            at = at - at[0] if not len(joined) else at
-            data = joined.buffers()[2] if len(joined) else pa.py_buffer(b"")
-            whole = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(np.ascontiguousarray(at)), data])
-            try:
-                text = whole.cast(pa.large_string())
-            except pa.ArrowInvalid:
-                text = pa.array([x.decode("utf-8", "replace") for x in whole.to_pylist()], pa.large_string())
-            text = pa.compute.if_else(ids.is_null(), pa.scalar(None, pa.large_string()), text)
-            yield pa.RecordBatch.from_arrays([*batch.columns, text.cast(pa.string())], [*batch.schema.names, "decoded"])
-            del joined, whole, text, data
+            text = texts_of(batch.column("token_ids"), vocabulary)
+            yield pa.RecordBatch.from_arrays([*batch.columns, text], [*batch.schema.names, "decoded"])
+            del text
             _shared.release()
 
     return rows.mapInArrow(text_of, StructType([*rows.schema.fields, StructField("decoded", StringType())]))

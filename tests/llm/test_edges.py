@@ -124,6 +124,18 @@ def test_bpe(docs, none):
     assert bpe.encode(docs.where("doc_id < 5").repartition(3), stored=False).count() == 8
 
 
+def test_last_stage_decodes_where_it_places(spark, docs):
+    """One Python worker a task once ids are placed; the columns are those of ``decode`` behind ``encode``."""
+    two = bpe.decode(bpe.encode(docs))
+    one = bpe.encode(docs, back=True)
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.token_ids is None, r.token_ids or [], r.n_tokens, r.mark, r.decoded)
+    assert one.columns == two.columns and sorted(map(repr, map(key, one.collect()))) == sorted(map(repr, map(key, two.collect())))
+    last = corpus_pipeline._tokens(spark, docs, "")
+    assert all(r.round_trip for r in last.collect())
+    upto = last._jdf.queryExecution().optimizedPlan().toString().split("FlatMapCoGroupsInArrow")[0]
+    assert "InArrow" not in upto and "InPandas" not in upto and "EvalPython" not in upto
+
+
 def test_bpe_notices_another_order(spark):
     """As many distinct words, but others: the checksum tells."""
     import pyarrow as pa
