@@ -336,15 +336,19 @@ def mention_key(folded: Column) -> Column:
 
 
 def ngrams(key: Column, most: int = 4) -> Column:
-    """All runs of 1 to ``most`` words."""
-    w = F.filter(F.split(key, " "), lambda x: x != "")
+    """All runs of 1 to ``most`` words.
 
-    def of(n: int) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.array_join(F.slice(w, i + 1, n), " "))
-
-    runs = [of(n) for n in range(1, most + 1)]
+    The words are bound as a variable: as an expression, each run would split the whole text again.
+    """
     none = F.array().cast("array<string>")
-    return F.concat(*[F.when(F.size(w) >= n, r).otherwise(none) for n, r in enumerate(runs, 1)])
+
+    def runs(w: Column) -> Column:
+        def of(n: int) -> Column:
+            return F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.array_join(F.slice(w, i + 1, n), " "))
+
+        return F.concat(*[F.when(F.size(w) >= n, of(n)).otherwise(none) for n in range(1, most + 1)])
+
+    return F.transform(F.array(F.filter(F.split(key, " "), lambda x: x != "")), runs)[0]
 
 
 def injection_count(c: Column) -> Column:
