@@ -27,3 +27,18 @@ def test_word_hits_join_the_shown_aliases_only(spark):
     assert sorted((r.question_id, r.keyword, r.entity_id, r["rank"]) for r in found.collect()) == [("p", "ring", "e7", 2), ("p", "ring", "e8", 1), ("q", "ring", "e7", 2), ("q", "ring", "e8", 1)]
     top, _, below = _plan(found).partition("Join Inner")
     assert "Window " in top and "Window " in below
+
+
+def test_exact_hits_leave_the_join_as_they_are(spark):
+    """Pairs with two keys in common come once, without a shuffle of all pairs."""
+    asked = spark.createDataFrame([(1, "What is a ring?"), (1, "who is b?"), (2, "A ring"), (3, "nothing"), (4, None)], "question_id int, question string")
+    entities = spark.createDataFrame([("x", "A Ring"), ("x", "B"), ("y", "b")], "id string, name string")
+    aliases = spark.createDataFrame([("y", "a ring"), ("y", "B")], "entity_id string, alias_name string")
+    notes = spark.createDataFrame([("x", f"d{i}", i, 1) for i in range(6)], "entity_id string, description string, weight int, document_id int")
+    found = lookups.exact_hits(asked, entities, aliases)
+    want = [(1, "x", "name"), (1, "y", "alias"), (1, "y", "name"), (2, "x", "name"), (2, "y", "alias")]
+    assert sorted((r.question_id, r.entity_id, r.via) for r in found.collect()) == want
+    assert "Aggregate" not in _plan(found).partition("Join Inner")[0]
+    told = lookups.exact_hits(asked, entities, aliases, notes, 2)
+    assert sorted((r.question_id, r.description, r["rank"]) for r in told.collect()) == [(1, "d4", 2), (1, "d5", 1), (2, "d4", 2), (2, "d5", 1)]
+    assert "Window " not in _plan(told).partition("Join Inner")[0]
