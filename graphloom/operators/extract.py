@@ -12,6 +12,8 @@ from graphloom.functions import text
 
 ENDPOINT = "struct<name:string,description:string>"
 TRIPLES = "chunk_id string, pass int, ord int, source string, source_description string, target string, target_description string, rel_type string, description string, keywords array<string>, weight double"
+#: Triples that a Python worker hands over at once.
+ROWS = 4_096
 _OPERATIONS = {
     "value_operations": "evaluate compare convert construct destructure",
     "name_place_operations": "bind rebind mutate access",
@@ -101,6 +103,10 @@ def triples_of(payload: object, vocabulary: frozenset[str] | None = None) -> lis
     return out
 
 
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+
 def extracted(chunks: DataFrame, model: Callable[[str, list[tuple]], str], passes: int = 1, vocabulary: frozenset[str] | None = None) -> DataFrame:
     """Triples of every chunk (chunk_id, content): a first pass and up to ``passes`` gleanings that stop when nothing new comes.
 
@@ -116,18 +122,22 @@ def extracted(chunks: DataFrame, model: Callable[[str, list[tuple]], str], passe
         return []
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("chunk_id", pa.string()), ("pass", pa.int32()), ("ord", pa.int32()), *[(n, pa.string()) for n in ("source", "source_description", "target", "target_description", "rel_type", "description")], ("keywords", pa.list_(pa.string())), ("weight", pa.float64())])
+        rows: list[tuple] = []
         for batch in batches:
-            rows = []
-            for key, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for key, content in zip(batch.column(0), batch.column(1), strict=True):
                 known: dict[tuple, tuple] = {}
                 for p in range(passes + 1):
-                    new = ask(content or "", list(known.values()))
+                    new = ask(content.as_py() or "", list(known.values()))
                     before = len(known)
-                    rows += [{"chunk_id": key, "pass": p, "ord": i, "source": t[0], "source_description": t[1], "target": t[2], "target_description": t[3], "rel_type": t[4], "description": t[5], "keywords": t[6], "weight": t[7]} for i, t in enumerate(new)]
+                    rows += [(key.as_py(), p, i, *t) for i, t in enumerate(new)]
                     known.update({(t[0], t[2], t[4]): t for t in new})
                     if not new or (p and len(known) == before):
                         break
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("chunk_id", pa.string()), ("pass", pa.int32()), ("ord", pa.int32()), *[(n, pa.string()) for n in ("source", "source_description", "target", "target_description", "rel_type", "description")], ("keywords", pa.list_(pa.string())), ("weight", pa.float64())]))
+                while len(rows) >= ROWS:
+                    yield _batch(rows[:ROWS], schema)
+                    del rows[:ROWS]
+        yield _batch(rows, schema)
 
     return chunks.select(F.col("chunk_id").cast("string"), F.col("content").cast("string")).mapInArrow(run, TRIPLES)
 

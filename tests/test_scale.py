@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+from types import SimpleNamespace
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from graphloom.functions import text
-from graphloom.operators import lookups
+from graphloom.operators import extract, lookups
 
 
 def _plan(frame) -> str:
@@ -42,3 +46,13 @@ def test_exact_hits_leave_the_join_as_they_are(spark):
     told = lookups.exact_hits(asked, entities, aliases, notes, 2)
     assert sorted((r.question_id, r.description, r["rank"]) for r in told.collect()) == [(1, "d4", 2), (1, "d5", 1), (2, "d4", 2), (2, "d5", 1)]
     assert "Window " not in _plan(told).partition("Join Inner")[0]
+
+
+def test_triples_are_handed_over_in_small_batches(spark):
+    """The triples of a batch of texts aren't gathered in a Python worker's memory."""
+    n = extract.ROWS
+    model = lambda content, known: json.dumps({"relationships": [] if known else [{"source": f"a{i}", "target": "b", "rel_type": "x"} for i in range(n)]})
+    chunks = SimpleNamespace(select=lambda *c: SimpleNamespace(mapInArrow=lambda run, schema: run))
+    texts = pa.RecordBatch.from_pydict({"chunk_id": [str(i) for i in range(5)], "content": ["t"] * 5})
+    found = [b.num_rows for b in extract.extracted(chunks, model)(iter([texts]))]
+    assert sum(found) == 5 * n and max(found) <= n
