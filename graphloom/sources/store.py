@@ -6,6 +6,8 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from . import tables
+
 
 def insert_absent(table: DataFrame, rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The rows whose key the table lacks, one of each key (least ``order``): what has to be appended."""
@@ -44,9 +46,12 @@ def missing_ends(entities: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def relabel(edges: DataFrame, old: str, new: str) -> DataFrame:
-    """Edges of a type under another, united with those that have it already; weights add up to 100 at most."""
+    """Edges of a type under another, united with those that have it already; weights add up to 100 at most.
+
+    Spread by their ends into tasks of a fixed size before they are united.
+    """
     moved = edges.withColumn("rel_type", F.when(F.col("rel_type") == old, new).otherwise(F.col("rel_type")))
-    united = moved.groupBy("src", "dst", "rel_type").agg(F.least(F.sum("weight"), F.lit(100)).cast("int").alias("weight"))
+    united = moved.repartition(tables.slices(edges), "src", "dst").groupBy("src", "dst", "rel_type").agg(F.least(F.sum("weight"), F.lit(100)).cast("int").alias("weight"))
     return united.withColumn("rel_id", F.concat_ws(":", "rel_type", "src", "dst"))
 
 

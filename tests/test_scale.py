@@ -8,8 +8,10 @@ from types import SimpleNamespace
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from graphloom.functions import text
-from graphloom.operators import extract, lookups
+from graphloom.functions import text, udfs
+from graphloom.operators import extract, graph, lookups, mentions
+from graphloom.plans import modes
+from graphloom.sources import store, tables
 
 
 def _plan(frame) -> str:
@@ -56,3 +58,45 @@ def test_triples_are_handed_over_in_small_batches(spark):
     texts = pa.RecordBatch.from_pydict({"chunk_id": [str(i) for i in range(5)], "content": ["t"] * 5})
     found = [b.num_rows for b in extract.extracted(chunks, model)(iter([texts]))]
     assert sum(found) == 5 * n and max(found) <= n
+
+
+def test_text_similarity_is_that_of_embeddings(spark):
+    q = udfs.embed("old ring of brand 7").tolist()
+    rows = spark.createDataFrame([("Old RING, ring",), ("",), (None,), ("brand 7 ß",), ("??",)], "t string")
+    for query in (q, [1.0]):
+        got = rows.select(udfs.text_similarity(F.col("t"), query).alias("a"), udfs.similarity(udfs.hash_embedding("t"), query).alias("b")).collect()
+        assert [r.a for r in got] == [r.b for r in got]
+
+
+def test_relations_are_joined_by_numbers(spark):
+    """Ids and names are made after the joins; both ends of an edge come from one pass."""
+    plan = _plan(tables.named_relations(spark, "/root/testdata/sf0.001"))
+    joins = [line for line in plan.splitlines() if "Join Inner" in line]
+    assert joins and not any("src" in j or "dst" in j or "id#" in j.replace("nationid", "") for j in joins)
+    edges = tables.relations(spark, "/root/testdata/sf0.001")
+    assert _plan(graph.node_degrees(edges)).count("lineitem") <= _plan(edges.groupBy("src").count()).count("lineitem")
+
+
+def test_scored_relations_are_stored_without_vectors(spark):
+    engine = modes.Engine.over(spark, "/root/testdata/sf0.001")
+    scored = engine.scored("ring")
+    assert "embedding" not in scored.columns and "parquet" in _plan(engine.named).lower()
+    assert "Join" not in _plan(engine.named)
+    again = engine.scored("ring")
+    assert sorted(scored.select(*again.columns).collect()) == sorted(again.collect())
+
+
+def test_mentions_drop_keys_nobody_asks_for(spark):
+    entities = spark.createDataFrame([("a", "Old Ring"), ("b", "old ring"), ("c", "Bolt")], "id string, name string")
+    aliases = spark.createDataFrame([("c", "old ring"), ("c", "nut"), ("a", "nut"), ("b", "gone")], "entity_id string, alias_name string")
+    whole = [tuple(r) for r in mentions.index(entities, aliases).collect()]
+    asked = [tuple(r) for r in mentions.index(entities, aliases, ["nut", "old ring"]).collect()]
+    assert sorted(asked) == sorted(r for r in whole if r[0] in ("nut", "old ring"))
+
+
+def test_tasks_stay_small(spark, tmp_path):
+    """Partitions follow the size of the files, not the setting."""
+    small = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    big = spark.read.parquet("/root/testdata/sf0.1/lineitem.parquet")
+    assert tables.slices(small) == 1 and tables.slices(big) == 3
+    assert store.relabel(tables.relations(spark, "/root/testdata/sf0.1"), "SUPPLIES", "CONTAINS")._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 3
