@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from graphloom.functions import text, udfs
-from graphloom.operators import extract, graph, lookups, mentions
+from graphloom.operators import analytics, extract, graph, lookups, mentions
 from graphloom.plans import modes
 from graphloom.sources import store, tables
 
@@ -100,3 +100,28 @@ def test_tasks_stay_small(spark, tmp_path):
     big = spark.read.parquet("/root/testdata/sf0.1/lineitem.parquet")
     assert tables.slices(small) == 1 and tables.slices(big) == 3
     assert store.relabel(tables.relations(spark, "/root/testdata/sf0.1"), "SUPPLIES", "CONTAINS")._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 3
+
+
+def test_paths_of_a_component_arent_one_task(spark):
+    """Breadth first from all nodes by joins: no task holds a whole component."""
+    edges = analytics.local_edges(spark, [("a", "b"), ("b", "c"), ("a", "b"), ("c", "c"), ("b", "d"), ("c", "e"), ("d", "e")])
+    near, between = analytics.harmonic(edges), analytics.betweenness(edges)
+    assert "Pandas" not in _plan(near) + _plan(between)
+    assert {r.id: round(r.score, 6) for r in near.collect()} == {"a": round(1 + 1 + 1 / 3, 6), "b": 2.5, "c": 1.0, "d": 1.0, "e": 0.0}
+    # a-b is two paths; b stands between a and c, d, e; half of the paths to e lead through c, for a and for b
+    assert {r.id: round(r.score * 12, 6) for r in between.collect()} == {"a": 0.0, "b": 3.0, "c": 1.0, "d": 1.0, "e": 0.0}
+
+
+def test_rounds_move_numbers_to_edges_that_stay(spark):
+    edges = analytics.local_edges(spark, [("a", "b"), ("b", "c"), ("a", "b")])
+    nodes, w = analytics.numbered(edges)
+    of = {r.k: r.id for r in nodes.collect()}
+    assert sorted(of.values()) == ["a", "b", "c"]
+    assert sorted((of[r.s], of[r.d], r.w, r.m) for r in w.collect()) == [("a", "b", 2.0, 2), ("b", "c", 1.0, 1)]
+    x = nodes.selectExpr("k", "1.0D as x")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = analytics._flow(analytics._spread(w, "s"), x, "d", "s")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange ") == 2  # of the nodes' numbers and of the sums
