@@ -125,3 +125,14 @@ def test_rounds_move_numbers_to_edges_that_stay(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plan.count("Exchange ") == 2  # of the nodes' numbers and of the sums
+
+
+def test_pairs_that_cannot_reach_the_thresholds_are_not_counted_out(spark, monkeypatch):
+    """Sets of 60 tokens that share a few shown ones aren't candidates; those that share enough are."""
+    sets = {f"n{i}": {f"t{i}-{j}" for j in range(58)} | {"x", "y"} for i in range(6)} | {"m": {f"t0-{j}" for j in range(30)} | {f"m{j}" for j in range(30)}}
+    tokens = spark.createDataFrame([(n, t) for n, ts in sets.items() for t in ts], "n string, token string")
+    kept = []
+    monkeypatch.setattr(analytics, "stored", lambda df, real=analytics.stored: kept.append(real(df)) or kept[-1])
+    found = analytics.similar(tokens, 2, 0.2, 0.1, 1).collect()
+    assert [(r.a, r.b, r.overlap, r.size_a, r.size_b) for r in found] == [("m", "n0", 30, 60, 60)]
+    assert [df.count() for df in kept if {"a", "b"} <= set(df.columns)] == [1]
