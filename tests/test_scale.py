@@ -82,7 +82,9 @@ def test_scored_relations_are_stored_without_vectors(spark):
     scored = engine.scored("ring")
     assert "embedding" not in scored.columns and "parquet" in _plan(engine.named).lower()
     assert "Join" not in _plan(engine.named)
-    again = engine.scored("ring")
+    assert engine.scored("bolt").columns == scored.columns
+    again = engine.scored("ring", narrow=True)
+    assert "weight" not in again.columns
     assert sorted(scored.select(*again.columns).collect()) == sorted(again.collect())
 
 
